@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import containers as ct
 from . import format_duplicates as fd
+from . import lookalikes as la
+from . import mixture as mx
 from . import pieces as pc
 
 
@@ -43,6 +46,34 @@ def p2_pieces(s: SparkSession, d: str) -> DataFrame:
     return _p2(s, d)
 
 
+def _capacity(s: SparkSession, d: str) -> int:
+    return table(s, d, "size_limits").where("item_table = 'documents' and unit = 'tokens'").first().max_size
+
+
+def p7_containers(s: SparkSession, d: str) -> DataFrame:
+    return ct.fill_containers(table(s, d, "documents"), _capacity(s, d))
+
+
+def p7_fill(s: SparkSession, d: str) -> DataFrame:
+    return ct.fill_report(p7_containers(s, d), _capacity(s, d))
+
+
+def p8_mixture(s: SparkSession, d: str) -> DataFrame:
+    return mx.mix(table(s, d, "documents"), table(s, d, "source_weights"))
+
+
+def p8_shares(s: SparkSession, d: str) -> DataFrame:
+    return mx.share_report(p8_mixture(s, d), table(s, d, "source_weights"))
+
+
+def p9_found(s: SparkSession, d: str) -> DataFrame:
+    return la.alike_pairs(table(s, d, "documents"))
+
+
+def p9_forms(s: SparkSession, d: str) -> DataFrame:
+    return la.consistent_form(table(s, d, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
