@@ -35,6 +35,22 @@ def group_heads(df: DataFrame, key: str, ident: str) -> DataFrame:
     )
 
 
+def with_group_head(df: DataFrame, key: str, ident: str, salts: int = 64) -> DataFrame:
+    """The rows whose key occurs more than once, with ``head_id`` (smallest ident) and ``copies``.
+
+    Rows are counted by (key, salt) first; a key's at most ``salts`` partial counts are then summed
+    and joined back by (key, salt). A key with a third of all rows is so spread over ``salts``
+    shuffle groups, and no other row is replicated. Null keys are dropped.
+    """
+    from pyspark.sql import Window
+
+    rows = df.where(F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(salts)).cast("byte"))
+    part = rows.groupBy(key, "_salt").agg(F.min(ident).alias("_head"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key)
+    heads = part.select(key, "_salt", F.min("_head").over(w).alias("head_id"), F.sum("_n").over(w).alias("copies")).where("copies > 1")
+    return rows.join(heads, [key, "_salt"]).drop("_salt")
+
+
 def salted(key: Column, row: Column, salts: int) -> list[Column]:
     """Grouping columns (key, salt) of a first aggregation step; group by key alone in the second."""
     return [key.alias("key"), F.pmod(F.xxhash64(row), F.lit(salts)).alias("salt")]
