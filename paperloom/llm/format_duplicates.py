@@ -18,13 +18,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.skew import group_heads, join_on_unique
+from ..operators.skew import with_group_head
+from ..session import cut_lineage
 
 #: A leading resolver address and/or a leading ``doi`` label.
 DOI_LEAD = r"^\s*(?:(?:https?:)?//)?(?:[a-z0-9-]+\.)*doi\.[a-z]+/+|^\s*https?://[^/\s]+/+"
@@ -50,40 +52,39 @@ def histogram(c: Column) -> list[Column]:
     return [F.length(c) - F.length(F.translate(c, b, "")) for b in HISTOGRAM_BINS]
 
 
-def multi_member(df: DataFrame, invariant: str) -> DataFrame:
-    """The rows whose class holds more than one row."""
-    heads = df.groupBy(invariant).agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
-    return join_on_unique(df, heads, invariant, "class_size").drop("class_size")
+def refine(staged: DataFrame) -> DataFrame:
+    """(item_table, id, head_id, copies) of every row of a group of several.
 
+    ``staged``: item_table, id, invariant, exact (text of the exact key or NULL), raw. First by the
+    invariant; of the survivors only ids and digests of the exact key are kept, then grouped by it.
+    """
+    survivors = with_group_head(staged, "invariant", "id").select(
+        "item_table", "id", F.coalesce(F.md5(F.to_binary("exact", F.lit("utf-8"))), record_key("raw")).alias("group_key")
+    )
+    return with_group_head(cut_lineage(survivors), "group_key", "id").select("item_table", "id", "head_id", "copies")
 
-def refine(df: DataFrame, ident: str, invariants: list[Column], key: Column, wanted: Column) -> DataFrame:
-    """(id, head_id, copies) of every row of a group of several; refine invariants, then the key."""
-    staged = df.where(wanted).withColumn("invariant", F.xxhash64(*invariants))
-    survivors = multi_member(staged, "invariant").withColumn("group_key", key).select(F.col(ident).alias("id"), "group_key")
-    survivors = survivors.where("group_key is not null")
-    return join_on_unique(survivors, group_heads(survivors, "group_key", "id"), "group_key", "copies").select("id", "head_id", "copies")
 
+def _staged(name: str, df: DataFrame, ident: str, invariants: list[Column], exact: Column, raw: Column) -> DataFrame:
+    tag = F.lit(name)
+    return df.select(tag.alias("item_table"), F.col(ident).alias("id"), F.xxhash64(tag, *invariants).alias("invariant"), exact.alias("exact"), raw.alias("raw"))
 
-def digest(*cols: Column) -> Column:
-    """One 128-bit group key for exact values of any length (a collision needs about 2^64 values)."""
-    return F.md5(F.to_binary(F.concat_ws("\u0001", *cols), F.lit("utf-8")))
 
+def staged_sources(sources: DataFrame) -> DataFrame:
+    d = sources.select("id", stripped(F.col("title")).alias("t"), stripped_doi(F.col("doi")).alias("d")).where("t <> '' or d <> ''")
+    exact = F.concat_ws("\u0001", F.lit("s"), "t", "d")
+    return _staged("literature_sources", d, "id", [F.length("t"), F.length("d"), *histogram(F.col("t"))], exact, F.lit(None).cast("string"))
 
-def source_groups(sources: DataFrame) -> DataFrame:
-    d = sources.select("id", stripped(F.col("title")).alias("t"), stripped_doi(F.col("doi")).alias("d"))
-    return refine(
-        d, "id", [F.length("t"), F.length("d"), *histogram(F.col("t"))], digest(F.col("t"), F.col("d")),
-        (F.col("t") != "") | (F.col("d") != ""),
-    )
 
+def staged_terms(terms: DataFrame) -> DataFrame:
+    d = terms.select("id", "document_id", stripped(F.col("label")).alias("t")).where("t <> '' and document_id is not null")
+    exact = F.concat_ws("\u0001", F.lit("t"), F.col("document_id").cast("string"), "t")
+    return _staged("candidate_terms", d, "id", [F.col("document_id"), F.length("t"), *histogram(F.col("t"))], exact, F.lit(None).cast("string"))
 
-def term_groups(terms: DataFrame) -> DataFrame:
-    d = terms.select("id", "document_id", stripped(F.col("label")).alias("t"))
-    return refine(
-        d, "id", [F.col("document_id"), F.length("t"), *histogram(F.col("t"))],
-        digest(F.col("document_id").cast("string"), F.col("t")),
-        (F.col("t") != "") & F.col("document_id").isNotNull(),
-    )
+
+def staged_records(items: DataFrame) -> DataFrame:
+    title = stripped(F.get_json_object("raw", "$.title"))
+    d = items.where("raw is not null").select("raw_id", "raw", title.alias("t"), F.array_sort(F.json_object_keys("raw")).alias("names"))
+    return _staged("csl_items", d, "raw_id", [F.col("names"), F.length("t"), *histogram(F.col("t"))], F.lit(None).cast("string"), F.col("raw"))
 
 
 _strip_re = re.compile(r"[\W_]+")
@@ -120,21 +121,12 @@ def record_key(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else hashlib.md5(canonical_record(x).encode("utf-8", "surrogatepass")).hexdigest())
 
 
-def record_groups(items: DataFrame) -> DataFrame:
-    title = stripped(F.get_json_object("raw", "$.title"))
-    d = items.select(F.col("raw_id").alias("id"), "raw", title.alias("t"), F.array_sort(F.json_object_keys("raw")).alias("names"))
-    return refine(d, "id", [F.col("names"), F.length("t"), *histogram(F.col("t"))], record_key("raw"), F.col("raw").isNotNull())
-
-
-def format_duplicates(sources: DataFrame, terms: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_table, id, head_id, copies) of every record that shares its content with another."""
-    parts = [
-        (source_groups(sources), "literature_sources"),
-        (term_groups(terms), "candidate_terms"),
-        (record_groups(items), "csl_items"),
-    ]
-    out = [g.select(F.lit(n).alias("item_table"), "id", "head_id", "copies") for g, n in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+def format_duplicates(*staged: DataFrame) -> DataFrame:
+    """(item_table, id, head_id, copies) of every record that shares its content with another.
+
+    All tables are refined together: one pass of each level, whatever the number of tables.
+    """
+    return refine(reduce(DataFrame.unionByName, staged))
 
 
 def copies_found(groups: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import containers as ct
+from . import cross_match as cm
 from . import format_duplicates as fd
 from . import lookalikes as la
 from . import mixture as mx
@@ -16,7 +17,9 @@ from . import pieces as pc
 
 
 def _p1(s: SparkSession, d: str) -> DataFrame:
-    return fd.format_duplicates(table(s, d, "literature_sources"), table(s, d, "candidate_terms"), table(s, d, "csl_items"))
+    return fd.format_duplicates(
+        fd.staged_sources(table(s, d, "literature_sources")), fd.staged_terms(table(s, d, "candidate_terms")), fd.staged_records(table(s, d, "csl_items"))
+    )
 
 
 def p1_found(s: SparkSession, d: str) -> DataFrame:
@@ -28,7 +31,7 @@ def p1_collapsed(s: SparkSession, d: str) -> DataFrame:
 
 
 def p1_terms(s: SparkSession, d: str) -> DataFrame:
-    return fd.term_groups(table(s, d, "candidate_terms")).where("id = head_id").select("id", "copies")
+    return fd.format_duplicates(fd.staged_terms(table(s, d, "candidate_terms"))).where("id = head_id").select("id", "copies")
 
 
 def _p2(s: SparkSession, d: str) -> DataFrame:
@@ -46,6 +49,14 @@ def p2_pieces(s: SparkSession, d: str) -> DataFrame:
     return _p2(s, d)
 
 
+def p3_found(s: SparkSession, d: str) -> DataFrame:
+    return p3_matches(s, d).select("source_id", "document_id")
+
+
+def p3_matches(s: SparkSession, d: str) -> DataFrame:
+    return cm.match(table(s, d, "literature_sources"), table(s, d, "literature_documents"))
+
+
 def _capacity(s: SparkSession, d: str) -> int:
     return table(s, d, "size_limits").where("item_table = 'documents' and unit = 'tokens'").first().max_size
 
