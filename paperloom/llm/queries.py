@@ -14,6 +14,7 @@ from . import format_duplicates as fd
 from . import lookalikes as la
 from . import mixture as mx
 from . import pieces as pc
+from . import term_mapping as tm
 
 
 def _p1(s: SparkSession, d: str) -> DataFrame:
@@ -57,6 +58,14 @@ def p3_matches(s: SparkSession, d: str) -> DataFrame:
     return cm.match(table(s, d, "literature_sources"), table(s, d, "literature_documents"))
 
 
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return tm.mapped_rows(table(s, d, "candidate_terms"), table(s, d, "ontology_terms"))
+
+
+def p4_labels(s: SparkSession, d: str) -> DataFrame:
+    return tm.map_rows(table(s, d, "candidate_terms"), table(s, d, "ontology_terms"))
+
+
 def _capacity(s: SparkSession, d: str) -> int:
     return table(s, d, "size_limits").where("item_table = 'documents' and unit = 'tokens'").first().max_size
 
