@@ -15,6 +15,7 @@ from . import lookalikes as la
 from . import mixture as mx
 from . import pieces as pc
 from . import term_mapping as tm
+from . import truncation as tr
 
 
 def _p1(s: SparkSession, d: str) -> DataFrame:
@@ -66,6 +67,15 @@ def p4_labels(s: SparkSession, d: str) -> DataFrame:
     return tm.map_rows(table(s, d, "candidate_terms"), table(s, d, "ontology_terms"))
 
 
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    return tr.truncated(table(s, d, "paper_metadata")).select("meta_id", "field")
+
+
+def p5_rates(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "paper_metadata")
+    return tr.rates(rows, tr.truncated(rows))
+
+
 def _capacity(s: SparkSession, d: str) -> int:
     return table(s, d, "size_limits").where("item_table = 'documents' and unit = 'tokens'").first().max_size
 
