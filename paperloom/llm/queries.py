@@ -13,6 +13,7 @@ from . import cross_match as cm
 from . import format_duplicates as fd
 from . import lookalikes as la
 from . import mixture as mx
+from . import page_noise as pg
 from . import pieces as pc
 from . import term_mapping as tm
 from . import truncation as tr
@@ -76,6 +77,14 @@ def p5_rates(s: SparkSession, d: str) -> DataFrame:
     return tr.rates(rows, tr.truncated(rows))
 
 
+def p6_found(s: SparkSession, d: str) -> DataFrame:
+    return pg.noise_found(pg.items(table(s, d, "extracted_pages"), table(s, d, "sections_flat")))
+
+
+def p6_repaired(s: SparkSession, d: str) -> DataFrame:
+    return pg.repaired(pg.items(table(s, d, "extracted_pages"), table(s, d, "sections_flat")))
+
+
 def _capacity(s: SparkSession, d: str) -> int:
     return table(s, d, "size_limits").where("item_table = 'documents' and unit = 'tokens'").first().max_size
 
