@@ -1 +1 @@
-
+"""Column functions: text and identifier normalisation, segmentation, JSON, similarity."""
