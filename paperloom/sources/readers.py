@@ -27,7 +27,7 @@ def _named(df: DataFrame) -> DataFrame:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Every file below the folder; texts decoded, other suffixes as metadata only."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), F.decode("content", F.lit("utf-8")))
+    text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), F.decode("content", "utf-8"))
     return _named(raw).select("path", "filename", "suffix", F.col("length").alias("size_bytes"), text.alias("content"))
 
 
