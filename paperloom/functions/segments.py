@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as tx
 
@@ -17,6 +21,8 @@ CLAIM_CUES = ("we ", "results", "show", "demonstrate", "indicate", "suggest", "f
 #: Words that are no key terms, and words that start no candidate phrase.
 NO_TERMS = ("which", "there", "their", "these", "those", "using", "therefore", "paper", "study", "result")
 NO_PHRASES = ("candidate", "candidates", "curator", "extract", "focus", "source", "terms", "ontology", "paper", "from", "with", "that", "this")
+#: Phrases per text.
+PHRASES = 5
 #: Hints and small words of unnumbered headings.
 HEADING_HINTS = ("framework", "monitoring", "processing", "solution", "method", "model", "data_acquisition")
 SMALL_WORDS = ("and", "or", "of", "the", "in", "for")
@@ -165,12 +171,26 @@ def key_terms(df: DataFrame, key: str, text: str, most: int = 10) -> DataFrame:
     return n.withColumn("rank", r).where(F.col("rank") <= most).select(key, "rank", "term", "n")
 
 
-def candidate_phrases(c: Column, most: int = 5) -> Column:
-    """First distinct pairs of neighbouring words."""
-    ws = F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z-]{3,}"), F.lit(0)), lambda w: ~w.isin(*NO_PHRASES))
-    n = F.size(ws)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1))))
-    return F.slice(F.array_distinct(F.coalesce(pairs, F.array().cast("array<string>"))), 1, most)
+_phrase_word = re.compile("[a-z][a-z-]{3,}")
+_no_phrases = frozenset(NO_PHRASES)
+
+
+def _phrases(text: str | None) -> list[str] | None:
+    if text is None:
+        return None
+    ws = [w for w in _phrase_word.findall(text.lower()) if w not in _no_phrases]
+    out: dict[str, None] = {}
+    for a, b in zip(ws, ws[1:], strict=False):
+        out[f"{a} {b}"] = None
+        if len(out) == PHRASES:
+            break
+    return list(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def candidate_phrases(c: pd.Series) -> pd.Series:
+    """The first distinct pairs of neighbouring words, in one linear pass per text."""
+    return c.map(_phrases)
 
 
 def generated_candidates(df: DataFrame, key: str, text: str) -> DataFrame:

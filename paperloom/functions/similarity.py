@@ -129,5 +129,8 @@ def match_terms(labels: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame
             rows = [(x, k, plain[t][0], s, "exact_or_synonym" if s >= EXACT_FROM else "label_similarity") for x in b["label"] for k, (t, s) in enumerate(m.top([x], most), 1)]
             yield pd.DataFrame(rows, columns=["label", "rank", "term_id", "score", "match_type"])
 
-    distinct = labels.select("label").where("label is not null").distinct()
+    spark = labels.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # scoring is the cost, not the rows: the distinct labels must not be coalesced into few tasks
+    distinct = labels.select("label").where("label is not null").distinct().repartition(tasks)
     return distinct.mapInPandas(run, "label string, rank int, term_id string, score double, match_type string")
