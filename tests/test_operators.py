@@ -115,7 +115,7 @@ def test_skew_helpers(spark):
 
 
 def test_similarity_rules(spark):
-    assert sim.local_score("Tide", ["diet"]) == 0.35 or True
+    assert sim.local_score("Tide", ["diet"]) == 0.25  # asymmetric: the other way round it is 0.5
     assert sim.local_score("Cell growth", ["cell  GROWTH"]) == 1.0
     assert sim.local_score("growth", ["cell growth"]) >= 0.85
     assert sim.external_score("growth", "cell growth") == 0.85
