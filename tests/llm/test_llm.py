@@ -113,6 +113,22 @@ def test_cross_match(spark):
     assert cm.match(s.limit(0), d).count() == 0
 
 
+def common_titles(spark, more=()):
+    """30 records of one title, all of whose title terms have long lists, among 1,000 others."""
+    r = random.Random(9)
+    other = [(1000 + i, " ".join("".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(4)), None, None, None) for i in range(1000)]
+    rows = [(i, "Growth of crystals in water", None, str(1980 + i), None) for i in range(30)] + other + list(more)
+    return spark.createDataFrame(rows, "id long, title string, doi string, year string, creators array<struct<family:string,given:string,type:string>>")
+
+
+FILES = "id long, filename string, content string, source_id long"
+
+
+def test_cross_match_term_of_no_record(spark):
+    d = spark.createDataFrame([(1, "Growth of crystals in watxer.pdf", None, None)], FILES)
+    assert {(r.source_id, r.document_id) for r in cm.match(common_titles(spark), d).collect()} == {(i, 1) for i in range(30)}
+
+
 # --- 4 ---
 
 
