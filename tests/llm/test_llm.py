@@ -129,6 +129,18 @@ def test_cross_match_term_of_no_record(spark):
     assert {(r.source_id, r.document_id) for r in cm.match(common_titles(spark), d).collect()} == {(i, 1) for i in range(30)}
 
 
+def test_cross_match_rare_term_of_another_record(spark):
+    s = common_titles(spark, [(5000, "Waiter problems solved", None, None, None)])
+    d = spark.createDataFrame([(1, "Growth of crystals in waiter.pdf", None, None)], FILES)
+    assert {(r.source_id, r.document_id) for r in cm.match(s, d).collect()} == {(i, 1) for i in range(30)}
+
+
+def test_cross_match_equal_doi_of_another_year(spark):
+    s = common_titles(spark, [(5000, "Things of glass and stone", "10.1234/z", "1999", None)])
+    d = spark.createDataFrame([(1, "x.md", '---\ntitle: "Things of glass and stone"\nyear: 2000\ndoi: "10.1234/z"\n---\nBody.', None)], FILES)
+    assert {(r.source_id, r.document_id) for r in cm.match(s, d).collect()} == {(5000, 1)}
+
+
 # --- 4 ---
 
 
