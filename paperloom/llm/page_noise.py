@@ -112,6 +112,7 @@ class Repairer:
         self.longest = max(map(len, self.targets), default=0)
         self.index: dict[str, list[str]] | None = None
         self.seen: dict[str, tuple[str, ...]] = {}
+        self.judged: dict[str, bool] = {}
 
     @staticmethod
     def _deletes(w: str) -> set[str]:
@@ -202,6 +203,15 @@ class Repairer:
         at = raw.lower().find(start)
         return raw[:at] + best + raw[at + len(start) :]
 
+    def misread(self, raw: str) -> bool:
+        """Whether repair() changes the token; its neighbours decide only between several repairs."""
+        hit = self.judged.get(raw)
+        if hit is None:
+            if len(self.judged) > 500_000:
+                self.judged.clear()
+            hit = self.judged[raw] = self.repair(raw) is not None
+        return hit
+
 
 # --- lines ------------------------------------------------------------------------------------
 
@@ -348,13 +358,9 @@ def examine(text: str | None, edges: bool, fix: Repairer, rewrite: bool = False)
     body, divided = join_lines(lines, fix.words)
     if divided:
         noise.add("hyphen")
-    tokens = body.split()
-    known = fix.words
     if not rewrite:
-        for w in set(tokens):
-            if w not in known and fix.repair(w) is not None:
-                noise.add("ocr")
-                break
+        if any(fix.misread(w) for w in set(body.split())):
+            noise.add("ocr")
         return noise, None
     out = []
     for p in body.split("\n\n"):

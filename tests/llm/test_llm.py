@@ -199,6 +199,13 @@ def test_page_noise(spark):
     assert text[101] is None and text[102] == ""
 
 
+def test_page_noise_misread_word_of_the_lexicon():
+    fix = pg.Repairer({"between": 10000, "be†ween": 27, "phases": 500, "the": 90000})
+    text = "the gap be†ween the phases"
+    assert pg.examine(text, False, fix)[0] == pg.examine(text, False, fix, True)[0] == {"ocr"}
+    assert pg.examine("the gap between the phases", False, fix)[0] == set()
+
+
 # --- 7 ---
 
 
