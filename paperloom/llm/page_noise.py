@@ -5,8 +5,8 @@
 2. Per text: running headers, footers and page numbers are lines at page edges, or lines that
    interrupt a paragraph at a page break, which the line filling does not explain; words divided at
    a line end are joined unless the lexicon knows the compound with its hyphen.
-3. Misread words: a symmetric-delete index over the trusted words generates candidates, a weighted
-   edit distance with confusion pairs accepts them, frequency and bigram context pick the repair.
+3. Misread words: every trusted word that confusion pairs make of a word, as many as the weighted
+   distance accepts, is a candidate; frequency and bigram context pick the repair.
 
 NULL and empty texts have no noise and stay as they are; repeated rows are judged alike; a text of
 headers only becomes empty.
@@ -32,11 +32,12 @@ CONFUSIONS = """
 cl d, rn m, in m, ni m, nn m, m rn, m in, vv w, w vv, li h, h li, b h, h b, ii u, u ii, n u, u n, ri n, n ri, d ti, d cl, ti d, tl d, fi h, tt u, rri m, lc k, ji p, fl h, a o, o a, y v, v y, z 2, 2 z, ¢ c, € e, é e
 """
 _pairs = {tuple(x.split()) for x in CONFUSIONS.replace("\n", " ").split(",")}
-#: Strokes: characters that scans confuse get equal codes, so that most misreadings have the code of the right word.
-_strokes = str.maketrans({"1": "l", "!": "l", "|": "l", "i": "l", "0": "o", "5": "s", "$": "s", "9": "g", "q": "g", "6": "b", "8": "b", "@": "a", "(": "c", "e": "c", "†": "t", "+": "t", "¢": "c", "€": "c", "é": "c", "m": "rn", "d": "cl", "w": "vv", "h": "ll", "u": "ll", "2": "z"})
+#: Cost of one confusion pair.
+PAIR_COST = 0.3
 _by_wrong: dict[str, list[str]] = {}
 for _w, _r in _pairs:
     _by_wrong.setdefault(_w, []).append(_r)
+LONGEST_WRONG = max(map(len, _by_wrong))
 
 #: Signs that divide a word at a line end.
 HYPHENS = "-‐­¬"
@@ -104,24 +105,41 @@ def context_pairs(texts: DataFrame, words: dict[str, int], share: float = SHARE,
 
 
 class Repairer:
-    """Symmetric-delete candidates over the trusted words, weighted edit distance, context."""
+    """Candidates over the trusted words by confusion pairs, weighted distance, context."""
 
     def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int] | None = None, most: float = 0.95) -> None:
         self.words, self.pairs, self.most = words, pairs or {}, most
         self.targets = {w for w in words if len(w) >= 3 and any(c.isalpha() for c in w)}
-        self.longest = max(map(len, self.targets), default=0)
-        self.index: dict[str, list[str]] | None = None
+        self.prefixes: set[str] | None = None
         self.seen: dict[str, tuple[str, ...]] = {}
         self.judged: dict[str, bool] = {}
 
-    @staticmethod
-    def _deletes(w: str) -> set[str]:
-        """The stroke code of a word and the code without any one stroke."""
-        k = w.translate(_strokes)
-        return {k, *(k[:i] + k[i + 1 :] for i in range(len(k)))}
+    def _reached(self, w: str) -> dict[str, float]:
+        """The targets that confusion pairs make of w, with their least cost, by a walk over the targets' prefixes."""
+        if self.prefixes is None:
+            self.prefixes = {t[:k] for t in self.targets for k in range(len(t) + 1)}
+        prefixes = self.prefixes
+        out: dict[str, float] = {}
+        here: dict[int, dict[str, float]] = {0: {"": 0.0}}
+        for i in range(len(w)):
+            for p, c in here.pop(i, {}).items():
+                if (t := p + w[i]) in prefixes:
+                    at = here.setdefault(i + 1, {})
+                    at[t] = min(at.get(t, c), c)
+                if c + PAIR_COST > self.most:
+                    continue
+                for a in range(1, min(LONGEST_WRONG, len(w) - i) + 1):
+                    for r in _by_wrong.get(w[i : i + a], ()):
+                        if (t := p + r) in prefixes:
+                            at = here.setdefault(i + a, {})
+                            at[t] = min(at.get(t, c + PAIR_COST), c + PAIR_COST)
+        for t, c in here.get(len(w), {}).items():
+            if t in self.targets:
+                out[t] = c
+        return out
 
     def cost(self, w: str, right: str) -> float:
-        """Weighted edits from the misreading w to the right word; 0.3 per confusion pair, 1 per other edit."""
+        """Cost of the confusion pairs from the misreading w to the right word; 9 where they do not lead there."""
         k = 0
         while k < min(len(w), len(right)) and w[k] == right[k]:
             k += 1
@@ -129,8 +147,6 @@ class Repairer:
         while k < min(len(w), len(right)) and w[-1 - k] == right[-1 - k]:
             k += 1
         w, right = w[: len(w) - k], right[: len(right) - k]
-        if len(w) > 9 or len(right) > 9:
-            return 9.0
         n, m = len(w), len(right)
         big = 9.0
         d = [[big] * (m + 1) for _ in range(n + 1)]
@@ -142,12 +158,12 @@ class Repairer:
                     continue
                 if i < n and j < m and w[i] == right[j]:
                     d[i + 1][j + 1] = min(d[i + 1][j + 1], v)
-                for a in (1, 2, 3):
+                for a in range(1, LONGEST_WRONG + 1):
                     if i + a > n:
                         break
                     for r in _by_wrong.get(w[i : i + a], ()):
                         if right.startswith(r, j):
-                            d[i + a][j + len(r)] = min(d[i + a][j + len(r)], v + 0.3)
+                            d[i + a][j + len(r)] = min(d[i + a][j + len(r)], v + PAIR_COST)
         return d[n][m]
 
     def candidates(self, w: str) -> tuple[str, ...]:
@@ -155,19 +171,11 @@ class Repairer:
         hit = self.seen.get(w)
         if hit is not None:
             return hit
-        if self.index is None:
-            self.index = {}
-            for t in self.targets:
-                for k in self._deletes(t):
-                    self.index.setdefault(k, []).append(t)
         found: dict[str, float] = {}
         n = self.words.get(w, 0)
-        if 3 <= len(w) <= self.longest + 2 and sum(c.isalpha() for c in w) >= 2:
-            for k in self._deletes(w):
-                for t in self.index.get(k, ()):
-                    if t not in found and t != w and self.words[t] >= RATIO * max(n, 1) and abs(len(t) - len(w)) <= 2:
-                        found[t] = self.cost(w, t)
-        out = tuple(sorted((t for t, c in found.items() if c <= self.most), key=lambda t: (found[t], -self.words[t])))
+        if len(w) >= 3 and sum(c.isalpha() for c in w) >= 2:
+            found = {t: c for t, c in self._reached(w).items() if t != w and self.words[t] >= RATIO * max(n, 1)}
+        out = tuple(sorted(found, key=lambda t: (found[t], -self.words[t])))
         if len(self.seen) > 500_000:
             self.seen.clear()
         self.seen[w] = out

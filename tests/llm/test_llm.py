@@ -206,6 +206,15 @@ def test_page_noise_misread_word_of_the_lexicon():
     assert pg.examine("the gap between the phases", False, fix)[0] == set()
 
 
+def test_page_noise_every_confusion_pair():
+    for wrong, right in pg._pairs:
+        fix = pg.Repairer({f"star{right}ne": 1000})
+        assert fix.candidates(f"star{wrong}ne") == (f"star{right}ne",), (wrong, right)
+    fix = pg.Repairer({"crystallization": 1000, "the": 9000, "have": 800})
+    assert fix.repair("cry5tallizat1on,") == "crystallization,"
+    assert fix.repair("Tbe") == "The" and fix.repair("bave") == "have" and fix.repair("save") is None
+
+
 # --- 7 ---
 
 
