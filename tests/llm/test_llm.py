@@ -141,6 +141,15 @@ def test_cross_match_equal_doi_of_another_year(spark):
     assert {(r.source_id, r.document_id) for r in cm.match(s, d).collect()} == {(5000, 1)}
 
 
+def test_cross_match_of_several_works(spark):
+    t = "Things of glass and stone"
+    s = common_titles(spark, [(5000, t, "10.1234/a", "2001", [("Smith", "A", "author")]), *((5001 + i, t, f"10.1234/b{i}", None, None) for i in range(3))])
+    d = spark.createDataFrame([(1, f"Smith - 2001 - {t}.pdf", None, None), (2, f"{t}.pdf", None, None)], FILES)
+    got = {(r.source_id, r.document_id): r.confidence for r in cm.match(s, d).collect()}
+    assert set(got) == {(5000, 1), *((5000 + i, 2) for i in range(4))}
+    assert all(v < 0.3 for (_, i), v in got.items() if i == 2) and got[5000, 1] > 0.5
+
+
 # --- 4 ---
 
 
