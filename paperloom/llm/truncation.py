@@ -2,7 +2,8 @@
 
 Every value is reduced to words in lower case with single blanks. Longer copies are looked for
  - in the row itself (citation, file name and path against title, title against file name),
- - in all rows by a hash of author, year and a fixed-length prefix (the same work stored again),
+ - in all rows by sorted order, at any length: what goes on after a value and agrees in author and
+   year, or goes on within a word that stands nowhere else,
  - in all values by the last words: what always goes on there elsewhere lacks its end here.
 A value at the longest length that an intake delivers, where lengths pile up, was cut by it unless a
 copy shows its end. A mark in place of the end and a lost or cut file extension count; file names
@@ -13,14 +14,16 @@ NULL and empty values are no cases; repeated rows are judged alike; NULL intakes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_on_unique
 from ..session import cut_lineage
 
-#: Characters of the fixed-length prefix that, with author and year, stands for a work.
-PREFIX = 24
 #: Words of context before the last word.
 CONTEXT = 3
 #: Values of one intake at its greatest length from which that length counts as its limit.
@@ -70,9 +73,82 @@ def _pile(d: DataFrame, length: str) -> DataFrame:
     return per.where((F.col("m.n") >= PILE) & (F.col("m.n") >= F.lit(PILE_SHARE) * F.col("all"))).select("intake", F.col(f"m.{length}").alias("cap"))
 
 
-def _longest_copy(values: DataFrame) -> DataFrame:
-    """(work, copy, n): the longest copy of what shares author, year and prefix."""
-    return values.groupBy("work").agg(F.max_by("v", F.length("v")).alias("copy"), F.count(F.lit(1)).alias("n"))
+def kin(a: str, b: str) -> bool:
+    """Author and year of two copies of a work: equal, or agreeing in an author's name and contradicting in nothing or little."""
+    x, y = set(a.split()), set(b.split())
+    return a == b or (any(t.isalpha() for t in x & y) and (x <= y or y <= x or len(x & y) > 1))
+
+
+class _Chain:
+    """The values read last that are prefixes of each other, in sorted order, with what goes on after them."""
+
+    def __init__(self, rows: list[tuple[str, str]] = ()) -> None:  # rows: (v, who), sorted
+        self.stack: list[tuple[str, dict[str, bool], list[bool]]] = []  # value, who: a copy goes on; [goes on within a word]
+        for v, who in rows:
+            self.add(v, who)
+
+    def add(self, v: str, who: str) -> list[tuple]:
+        """Takes the next row; returns what is known of the values that it does not go on after."""
+        out = []
+        while self.stack and not v.startswith(self.stack[-1][0]):
+            out += self.pop()
+        for u, whos, inside in self.stack:
+            if u == v:
+                continue
+            inside[0] |= v[len(u)] != " "
+            if not whos.get(who, False):
+                for k in [k for k, hit in whos.items() if not hit and kin(k, who)]:
+                    whos[k] = True
+        if self.stack and self.stack[-1][0] == v:
+            self.stack[-1][1].setdefault(who, False)
+        else:
+            self.stack.append((v, {who: False}, [False]))
+        return out
+
+    def pop(self) -> list[tuple]:
+        v, whos, inside = self.stack.pop()
+        return [(v, k, hit, inside[0]) for k, hit in whos.items() if hit or inside[0]]
+
+
+def longer_copies(values: DataFrame) -> DataFrame:
+    """(v, who, same, inside): the values after which another one goes on, in one of the same work or within a word.
+
+    Values are sorted in ranges; a strict prefix stands directly before all that goes on after it. The
+    prefixes of a range's last value are handed on to the next range.
+    """
+    rows = cut_lineage(values.distinct().repartitionByRange("v", "who").sortWithinPartitions("v", "who"))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = _Chain()
+        for b in batches:
+            for v, who in zip(b["v"], b["who"], strict=True):
+                chain.add(v, who)
+        left = [(TaskContext.get().partitionId(), v, who) for v, whos, _ in chain.stack for who in whos]
+        yield pd.DataFrame(left, columns=["part", "v", "who"])
+
+    handed: dict[int, list[tuple[str, str]]] = {}
+    before: list[tuple[str, str]] = []
+    last = sorted(tuple(r) for r in rows.mapInPandas(ends, "part int, v string, who string").collect())
+    for part in range(rows.rdd.getNumPartitions()):
+        handed[part] = before
+        mine = [(v, who) for k, v, who in last if k == part]
+        if mine:  # an element stays in the chain while the last value goes on after it
+            before = sorted({*((v, who) for v, who in before if mine[-1][0].startswith(v)), *mine})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = _Chain(handed[TaskContext.get().partitionId()])
+        for b in batches:
+            out: list[tuple] = []
+            for v, who in zip(b["v"], b["who"], strict=True):
+                out += chain.add(v, who)
+            yield pd.DataFrame(out, columns=["v", "who", "same", "inside"])
+        out = []
+        while chain.stack:
+            out += chain.pop()
+        yield pd.DataFrame(out, columns=["v", "who", "same", "inside"])
+
+    found = rows.mapInPandas(run, "v string, who string, same boolean, inside boolean")
+    return found.groupBy("v", "who").agg(F.bool_or("same").alias("same"), F.bool_or("inside").alias("inside"))
 
 
 def _last_words(values: DataFrame) -> DataFrame:
@@ -107,11 +183,15 @@ def truncated(rows: DataFrame) -> DataFrame:
     )
     both = t.unionByName(f)
     judged = both.where("reason is not null").where("reason <> ''").select("meta_id", "intake", "field", "reason")
-    open_ = both.where("reason is null and v <> ''").withColumn("work", F.xxhash64("who", F.substring("v", 1, PREFIX)))
+    open_ = both.where("reason is null and v <> ''")
 
     values = d.select(F.explode(F.array_distinct(F.array("t", "f", "cited"))).alias("v"), "who").where("v <> ''")
-    copies = _longest_copy(values.where(F.length("v") >= PREFIX).select("v", F.xxhash64("who", F.substring("v", 1, PREFIX)).alias("work")))
-    seen = join_on_unique(open_, copies, "work", "n").where(longer(F.col("v"), F.col("copy"))).select("meta_id", "field").distinct()
+    # what goes on within a word is cut if that word stands nowhere else
+    found = cut_lineage(longer_copies(values).withColumn("p", F.element_at(F.split("v", " "), -1)))
+    inner = values.select(F.explode(F.split("v", " ")).alias("p"), "v").where(~F.endswith("v", F.concat(F.lit(" "), "p")) & (F.col("v") != F.col("p"))).select("p").distinct()
+    copies = found.where("same").unionByName(found.where("inside and not same").join(inner, "p", "left_anti")).select("v", "who")
+    uses = open_.groupBy("v", "who").agg(F.count(F.lit(1)).alias("n")).join(copies, ["v", "who"]).select(F.to_json(F.array("v", "who")).alias("work"), "n")
+    seen = join_on_unique(open_.withColumn("work", F.to_json(F.array("v", "who"))), uses, "work", "n").select("meta_id", "field").distinct()
     by_copy = open_.join(seen, ["meta_id", "field"], "left_semi").select("meta_id", "intake", "field", F.lit("copy").alias("reason"))
 
     rest = cut_lineage(open_.join(seen, ["meta_id", "field"], "left_anti"))

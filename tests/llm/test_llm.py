@@ -193,6 +193,32 @@ def test_truncation(spark):
     assert tr.truncated(d.limit(0)).count() == 0
 
 
+def test_truncation_copies_of_other_length_and_author(spark):
+    cols = "meta_id long, intake string, title string, citation string, year string, pdf_filename string, pdf_path string, lead_author string"
+    titles = [
+        (1, "Towards an ontology of fish", "2001", "Doe"), (2, "Towards an ontology of fish and salt", "2001", "Doe"), (3, "Towards an ontology of form and many longer words", "2001", "Doe"),
+        (4, "On the turbidit", "1999", "Ray"), (5, "On the turbidity of wine", "1999", "Ray"), (6, "Glass beads under", "1998", "Roe J"), (7, "Glass beads under load", "1998", "Roe"),
+        (8, "Heat in sol", "1990", "Fay"), (9, "Heat in solids", "1991", "Kim"), (10, "Milk of cows", "1980", "Lee"), (11, "Milk of cows in May", "1985", "Ash"),
+    ]
+    d = spark.createDataFrame([(i, "a", t, None, y, None, None, w) for i, t, y, w in titles], cols)
+    assert {r.meta_id for r in tr.truncated(d).collect()} == {1, 4, 6, 8}
+    values = d.select(F.lower("title").alias("v"), F.lit("x").alias("who"))
+    want = {(a, b) for a in (t[1].lower() for t in titles) for b in (t[1].lower() for t in titles) if b != a and b.startswith(a)}
+    assert {r.v for r in tr.longer_copies(values).where("same").collect()} == {a for a, _ in want}
+
+
+def test_truncation_copies_across_ranges(spark):
+    r = random.Random(4)
+    vs = sorted({"".join(r.choice("ab ") for _ in range(r.randint(1, 9))) for _ in range(400)} | {"a" * k for k in range(1, 30)})
+    d = spark.createDataFrame([(v, w) for v in vs for w in ("doe 2001", "kim 1999")], "v string, who string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(x.v, x.inside) for x in tr.longer_copies(d).where("same").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(v, any(w.startswith(v) and w[len(v)] != " " for w in vs if w != v)) for v in vs if any(w != v and w.startswith(v) for w in vs)}
+
+
 # --- 6 ---
 
 
