@@ -7,8 +7,9 @@
 3. Soft TF-IDF over the repaired tokens ranks complete entries (labels and synonyms). An entry is
    accepted only if all its tokens and all tokens of the label are paired, apart from qualifiers
    that name nothing; sharing some words is not enough. Since every token must be paired, entries
-   are looked up by the label's rarest token alone. Labels written without blanks are compared with
-   entries written without blanks by the same keys.
+   are looked up by the label's rarest token alone. One token may stand for two
+   neighbours of an entry. Labels written without blanks are compared with entries written without
+   blanks by keys of one deletion, so of two edits there only those that share such a key are found.
 
 NULL labels and labels without letters are unmatched; entries that are NULL or empty are skipped; a
 tie between different terms goes to the smaller distance, then to the smaller term id.
@@ -35,6 +36,8 @@ LEADING = ("the", "a", "an", "observed")
 TRAILING = ("n.o.s.", "of the sample", "(measured)", ", mean value")
 #: Greek letters written out.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "ω": "omega", "ζ": "zeta"}
+#: Tokens of an entry up to which all ways to join neighbours are forms of it (233 for 12).
+MANY = 12
 
 _units = re.compile(r"\[[^\]]*\]\s*$")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
@@ -182,6 +185,22 @@ def _entry_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b
 
 
+def merged(toks: list[str]) -> list[list[str]]:
+    """The tokens, and all ways to write neighbouring pairs of them as one word; beyond MANY tokens one pair at a time."""
+    if len(toks) > MANY:
+        return [toks, *(toks[:k] + [toks[k] + toks[k + 1]] + toks[k + 2 :] for k in range(len(toks) - 1))]
+    ways: list[list[list[str]]] = [[[]], [toks[:1]]]
+    for k in range(2, len(toks) + 1):
+        ways.append([w + [toks[k - 1]] for w in ways[k - 1]] + [w + [toks[k - 2] + toks[k - 1]] for w in ways[k - 2]])
+    return ways[-1]
+
+
+def _entry_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(e, t, n, w) for e, t, n, toks in zip(b["entry"], b["term_id"], b["name"], b["toks"], strict=True) for w in merged(list(toks))]
+        yield pd.DataFrame(rows, columns=["entry", "term_id", "matched_name", "toks"])
+
+
 def _pairing(label: list[tuple[str, dict[str, float]]], entry: list[str], idf: dict[str, float]) -> float:
     """Soft TF-IDF of a full one-to-one pairing, 0 if a token of either side is left over."""
     if len(label) != len(entry):
@@ -208,7 +227,10 @@ def map_labels(labels: DataFrame, terms: DataFrame) -> DataFrame:
     names = terms.select("term_id", F.explode(F.array_append(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("label"))).alias("name"))
     names = names.where("trim(name) <> '' and term_id is not null").distinct()
     entries = cut_lineage(names.mapInPandas(_entry_names, "term_id string, name string, toks array<string>, squash string").where("size(toks) > 0").withColumn("entry", F.xxhash64("term_id", "name")))
-    postings = entries.select("entry", F.explode(F.array_distinct("toks")).alias("w")).groupBy("w").agg(F.collect_list("entry").alias("entries"), F.count(F.lit(1)).alias("n"))
+    # one token of a label may stand for two neighbours of an entry
+    forms = entries.mapInPandas(_entry_forms, "entry long, term_id string, matched_name string, toks array<string>")
+    forms = cut_lineage(forms.withColumn("form", F.xxhash64("entry", "toks")))
+    postings = forms.select("entry", "form", "toks", F.explode(F.array_distinct("toks")).alias("w")).groupBy("w").agg(F.collect_list(F.struct("form", F.size("toks").alias("size"))).alias("entries"), F.count_distinct("entry").alias("n"))
     n_entries = entries.count()
 
     spelled = labels.select(F.col("label").alias("name")).where("name is not null").distinct()
@@ -221,9 +243,9 @@ def map_labels(labels: DataFrame, terms: DataFrame) -> DataFrame:
     placed = placed.where(F.size("found") == F.col("size"))
     rarest = F.array_min(F.transform("found", lambda x: F.struct(x["total"].alias("total"), x["pos"].alias("pos"), x["reps"].alias("reps"))))
     looked = placed.select("name", "found", F.explode(rarest["reps"]).alias("r")).select("name", "found", F.col("r.v").alias("w"))
-    hits = join_on_unique(looked, postings, "w", "n").select("name", "found", F.explode("entries").alias("entry"))
+    hits = join_on_unique(looked, postings, "w", "n").select("name", "found", F.explode(F.filter("entries", lambda e: e["size"] == F.size("found"))).alias("e")).select("name", "found", F.col("e.form").alias("form"))
     # every label token carries its repairs, so the entry's tokens are all that is joined
-    hits = hits.join(entries.select("entry", "term_id", F.col("name").alias("matched_name"), "toks"), "entry")
+    hits = hits.join(forms.select("form", "term_id", "matched_name", "toks"), "form")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -240,14 +262,15 @@ def map_labels(labels: DataFrame, terms: DataFrame) -> DataFrame:
     out = "label string, term_id string, matched_name string, score double"
     by_tokens = hits.mapInPandas(score, out)
 
-    def keyed(df: DataFrame, col: str) -> DataFrame:
-        s = df.select(col, F.col("squash").alias("w")).where("length(squash) >= 8")
-        t = df.schema[col].dataType.simpleString()
-        return s.mapInPandas(_explode_keys(False, 1), f"{col} {t}, w string, key array<long>").select(col, "w", F.explode("key").alias("key"))
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        s = df.select(F.col("squash").alias("w")).where("w <> ''").distinct()
+        return s.mapInPandas(_explode_keys(False, 1), "w string, key array<long>").select(F.col("w").alias(name), F.explode("key").alias("key"))
 
+    # distinct spellings without blanks are compared, of any number of tokens
     far = F.pandas_udf(lambda a, b: pd.Series([1 - d / len(x) if (d := distance(x, y, 2)) <= 2 else 0.0 for x, y in zip(a, b, strict=True)]), T.DoubleType())
-    blanks = keyed(spelled.where("size(toks) <= 3"), "name").withColumnRenamed("w", "a").join(keyed(entries, "entry").withColumnRenamed("w", "b"), "key").select("name", "a", "b", "entry").distinct()
-    blanks = blanks.withColumn("score", far("a", "b") - 0.01).where("score > 0.8").join(entries.select("entry", "term_id", F.col("name").alias("matched_name")), "entry")
+    blanks = keyed(spelled, "a").join(keyed(entries, "b"), "key").select("a", "b").distinct()
+    blanks = blanks.withColumn("score", F.when(F.col("a") == F.col("b"), 1.0).otherwise(far("a", "b")) - 0.01).where("score > 0.8")
+    blanks = blanks.join(entries.select(F.col("squash").alias("b"), "term_id", F.col("name").alias("matched_name")), "b").join(spelled.select("name", F.col("squash").alias("a")), "a")
     both = by_tokens.unionByName(blanks.select(F.col("name").alias("label"), "term_id", "matched_name", "score"))
     best = both.groupBy("label").agg(F.max(F.struct("score", F.col("matched_name"), "term_id")).alias("b"))
     return best.select("label", "b.term_id", "b.matched_name", "b.score")

@@ -166,6 +166,13 @@ def test_term_mapping(spark):
     assert tm.mapped_rows(rows, t.limit(0)).count() == 0
 
 
+def test_term_mapping_joined_tokens(spark):
+    t = spark.createDataFrame([("T1", "alpha-helix residence time distribution", None), ("T2", "x-ray beta-sheet content of dry-milled seeds", None), ("T3", "pH-stat", None)], "term_id string, label string, synonyms array<string>")
+    cases = {"alphahelix residence time distribution": "T1", "alphahelix resydense tyme distribution": "T1", "xray betasheet content of drymilled seeds": "T2", "al pha helix residence time distri bution": "T1", "phstat": "T3", "alphahelix time distribution": None}
+    rows = spark.createDataFrame(list(enumerate(cases)), "id long, label string")
+    assert {r.id: r.term_id for r in tm.mapped_rows(rows, t).collect()} == {i: v for i, v in enumerate(cases.values()) if v}
+
+
 def test_distance_bound():
     r = random.Random(2)
     for _ in range(200):
