@@ -20,11 +20,13 @@ CANDIDATE = T.StructType(
         T.StructField("proposed_parent", T.StringType()), T.StructField("confidence_score", T.DoubleType()), T.StructField("evidence", T.ArrayType(EVIDENCE)),
     ]
 )
-#: Evidence modes, fields of a suggestion.
+#: Evidence modes, required fields of a curation suggestion and of a suggestion payload.
 MODES = ("direct", "inferred", "contextual")
 SUGGESTION_FIELDS = (
-    "suggestion_type", "label", "definition", "synonyms", "parent", "relations", "evidence", "source", "confidence", "rationale", "review_status",
+    "suggestion_type", "proposed_label", "existing_ontology_id", "proposed_definition", "synonyms", "parent_class", "relations",
+    "source_literature_ids", "supporting_quotes_or_summaries", "confidence", "rationale",
 )
+PAYLOAD_FIELDS = ("proposed_label", "definition", "synonyms", "source_literature_ids", "confidence", "rationale")
 CSL_ITEM = (
     "id STRING, key STRING, citationKey STRING, title STRING, type STRING, itemType STRING, author ARRAY<STRUCT<family: STRING, given: STRING, type: STRING>>, "
     "issued STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>, date STRING, DOI STRING, URL STRING, abstract STRING, abstractNote STRING, `container-title` STRING, volume STRING, page STRING, language STRING"
@@ -69,17 +71,79 @@ def candidate_violations(c: Column) -> Column:
     return F.filter(F.array(*(F.when(cond, F.lit(code)) for code, cond in checks)), lambda x: x.isNotNull())
 
 
+def unknown_keys(raw: Column) -> Column:
+    """Keys of a candidate object that the contract does not name."""
+    return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")), F.array(*(F.lit(f.name) for f in CANDIDATE.fields))))
+
+
 def parse_candidates(raw: Column) -> Column:
     """The candidates array of a response; NULL for malformed JSON or extra top-level keys."""
     extra = F.array_except(F.json_object_keys(raw), F.array(F.lit("candidates")))
     return F.when(F.try_parse_json(raw).isNotNull() & (F.size(extra) == 0), F.from_json(raw, T.StructType([T.StructField("candidates", T.ArrayType(CANDIDATE))]))["candidates"])
 
 
+def _kind(v: Column, path: str) -> Column:
+    """The JSON type of a field of a parsed value: its first word, NULL if the field is absent."""
+    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
+
+
+def _is_score(v: Column, path: str) -> Column:
+    """A JSON number (or truth value, which counts as 0 or 1) within 0..1; text is none."""
+    value = F.try_variant_get(v, path, "double")
+    return F.coalesce(_kind(v, path).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN") & value.between(0, 1), F.lit(False))
+
+
+def _codes(*checks: tuple[Column, Column | str]) -> Column:
+    """The codes whose condition holds, in order."""
+    return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code) if isinstance(code, str) else code) for c, code in checks)), lambda x: x.isNotNull())
+
+
+def _missing(raw: Column, fields: tuple[str, ...]) -> Column:
+    have = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
+    return F.array_sort(F.array_except(F.array(*map(F.lit, fields)), have))
+
+
 def suggestion_problems(raw: Column) -> Column:
-    """Missing fields and confidence problems of one suggestion object."""
-    missing = F.array_except(F.array(*map(F.lit, SUGGESTION_FIELDS)), F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")))
-    conf = F.get_json_object(raw, "$.confidence").try_cast("double")
-    return F.concat(F.transform(missing, lambda m: F.concat(F.lit("missing:"), m)), F.when(conf.isNull() | ~conf.between(0, 1), F.array(F.lit("confidence"))).otherwise(F.array().cast("array<string>")))
+    """Missing fields (sorted) and confidence problems of one suggestion object; NULL gives NULL."""
+    gone = F.transform(_missing(raw, SUGGESTION_FIELDS), lambda m: F.concat(F.lit("missing:"), m))
+    bad = ~_is_score(F.try_parse_json(raw), "$.confidence")
+    return F.when(raw.isNotNull(), F.concat(gone, F.when(bad, F.array(F.lit("confidence"))).otherwise(F.array().cast("array<string>"))))
+
+
+def payload_problems(raw: Column) -> Column:
+    """Missing fields (sorted), list types and confidence of one suggestion of a payload."""
+    v = F.try_parse_json(raw)
+    lists = [("synonyms", F.coalesce(_kind(v, "$.synonyms"), F.lit("ARRAY")) != "ARRAY"), ("source_literature_ids", F.coalesce(_kind(v, "$.source_literature_ids"), F.lit("ARRAY")) != "ARRAY")]
+    kinds = _codes(*((c, f"not_a_list:{n}") for n, c in lists), (~_is_score(v, "$.confidence"), "confidence"))
+    return F.when(raw.isNotNull(), F.concat(F.transform(_missing(raw, PAYLOAD_FIELDS), lambda m: F.concat(F.lit("missing:"), m)), kinds))
+
+
+def response_problems(raw: Column) -> Column:
+    """What is wrong with a whole response: its form, then each suggestion by its number from 1."""
+    v = F.try_parse_json(raw)
+    outer = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    form = (
+        F.when(v.isNull(), F.array(F.lit("malformed")))
+        .when(outer != "OBJECT", F.array(F.lit("not_an_object")))
+        .when(F.coalesce(_kind(v, "$.suggestions"), F.lit("")) != "ARRAY", F.array(F.lit("no_suggestions_list")))
+        .when(F.coalesce(_kind(v, "$.warnings"), F.lit("ARRAY")) != "ARRAY", F.array(F.lit("warnings_not_a_list")))
+    )
+    items = F.from_json(raw, "suggestions ARRAY<STRING>")["suggestions"]  # elements as JSON text
+    each = F.transform(
+        items,
+        lambda x, i: F.transform(
+            F.when(F.coalesce(F.ltrim(x).startswith("{"), F.lit(False)), suggestion_problems(x)).otherwise(F.array(F.lit("not_an_object"))),
+            lambda p: F.concat((i + 1).cast("string"), F.lit(" "), p),
+        ),
+    )
+    return F.coalesce(form, F.flatten(each))
+
+
+def aggregated_responses(df: DataFrame, key: str, order: str, raw: str = "raw") -> DataFrame:
+    """Suggestions and warnings of all chunks of a run, in chunk order; responses with problems are left out."""
+    ok = df.where(F.size(response_problems(F.col(raw))) == 0).select(key, order, F.from_json(raw, "suggestions ARRAY<STRING>, warnings ARRAY<STRING>").alias("j"))
+    lists = ok.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col("j.suggestions").alias("s"), F.coalesce("j.warnings", F.array().cast("array<string>")).alias("w")))).alias("c"))
+    return lists.select(key, F.flatten(F.transform("c", lambda x: x["s"])).alias("suggestions"), F.flatten(F.transform("c", lambda x: x["w"])).alias("warnings"))
 
 
 def external_matches(df: DataFrame, key: str, raw: str = "raw") -> DataFrame:

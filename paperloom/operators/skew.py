@@ -54,3 +54,21 @@ def with_group_head(df: DataFrame, key: str, ident: str, salts: int = 64) -> Dat
 def salted(key: Column, row: Column, salts: int) -> list[Column]:
     """Grouping columns (key, salt) of a first aggregation step; group by key alone in the second."""
     return [key.alias("key"), F.pmod(F.xxhash64(row), F.lit(salts)).alias("salt")]
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with positions from 1 by ``order`` (unique): counted within sorted ranges, offset by the ranges before."""
+    from itertools import accumulate
+
+    from pyspark.sql import Window
+
+    from ..session import cut_lineage
+
+    rows = cut_lineage(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per range
+    offsets = dict(zip([k for k, _ in counts], accumulate([0, *(n for _, n in counts)]), strict=False))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    if not offsets:
+        return rows.drop("_part").withColumn(name, F.lit(0).cast("long"))
+    start = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv))
+    return rows.withColumn(name, (at + start[F.col("_part")]).cast("long")).drop("_part")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +10,8 @@ from ..functions import similarity as sim
 from ..functions import structured as st
 from ..functions import text as tx
 from ..operators import exports, linking, pages, vocabulary
-from ..session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
+from ..session import spread, table
+from .registry import register
 
 WS = tx.WS
 
@@ -67,16 +62,6 @@ def _chunk_type(x: str) -> str:
     return f"CASE {cases} ELSE 'other' END"
 
 
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- identifiers and keys -----------------------------------------------------------------------
 
 
@@ -222,7 +207,8 @@ def page_whitespace(s, d):
     SELECT id, md5({_strip(f"regexp_replace(regexp_replace({_dehyphen('m')}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")}) AS cleaned FROM j"""
 )
 def clean_files(s, d):
-    return table(s, d, "literature_documents").where("content is not null").select("id", F.md5(tx.clean_extracted("content")).alias("cleaned")).where("cleaned is not null")
+    t = spread(table(s, d, "literature_documents").where("content is not null").select("id", "content"), "id")
+    return t.select("id", F.md5(tx.clean_extracted("content")).alias("cleaned")).where("cleaned is not null")
 
 
 @register(f"SELECT id, md5({_strip(f"regexp_replace(content, '(?im)^\\s*(?:references|bibliography|literature cited)\\s*$(?s:.*)', '')")}) AS body, regexp_matches(coalesce(content, ''), '(?im)^references\\s*$') AS has_references FROM literature_documents")
@@ -233,20 +219,26 @@ def body_text(s, d):
 _lines = f"list_transform(regexp_split_to_array(text, '{tx.LINE_END}'), lambda x: {_strip('x')})"
 
 
-@register(
-    f"""WITH p AS (SELECT doc_id, page_id, page_number, text, {_lines} AS ls FROM extracted_pages WHERE text IS NOT NULL),
+_pages_head = f"""WITH p AS (SELECT doc_id, page_id, page_number, text, {_lines} AS ls FROM extracted_pages WHERE text IS NOT NULL),
     f AS (SELECT *, list_filter(ls, lambda x: x <> '') AS nb FROM p),
     e AS (SELECT DISTINCT doc_id, page_id, lower(x) AS line FROM (SELECT doc_id, page_id, unnest(list_concat(nb[1:4], nb[greatest(len(nb) - 3, 1):len(nb)])) AS x FROM f) WHERE length(x) <= 120),
     c AS (SELECT doc_id, line, count(*) AS n FROM e GROUP BY 1, 2), z AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY 1),
-    r AS (SELECT c.doc_id, list(line) AS rep FROM c JOIN z USING (doc_id) WHERE n >= 2 AND n >= greatest(2, pages // 2) GROUP BY 1)
-    SELECT p.doc_id, p.page_id, len(list_filter(p.ls, lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:(?:page\\s*)?\\d+)$') AND NOT coalesce(list_contains(r.rep, lower(x)), false))) AS kept_lines
-    FROM p LEFT JOIN r USING (doc_id)"""
+    r AS (SELECT c.doc_id, list(line) AS rep FROM c JOIN z USING (doc_id) WHERE n >= 2 AND n >= greatest(2, pages // 2) GROUP BY 1)"""
+
+
+@register(
+    _pages_head + r""" SELECT p.doc_id, p.page_id, len(list_filter(p.ls, lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:(?:page\s*)?\d+)$') AND NOT coalesce(list_contains(r.rep, lower(x)), false))) AS kept_lines
+    FROM p LEFT JOIN r USING (doc_id)""".replace("\\\\", "\\")
 )
 def header_footer(s, d):
     return pages.kept_lines(table(s, d, "extracted_pages"))
 
 
-@register()
+_kept = "list_filter(regexp_split_to_array(p.text, '" + tx.LINE_END + "'), lambda x: NOT regexp_matches(" + _strip("x") + ", '^(?i:(?:page\\s*)?\\d+)$') AND NOT coalesce(list_contains(r.rep, lower(" + _strip("x") + ")), false))"
+_squashed = _strip(f"regexp_replace(regexp_replace(regexp_replace({_dehyphen(_dehyphen('nfc_normalize(t)'))}, '[ \t\f\x0B]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@register(_pages_head + f" SELECT doc_id, page_id, page_number, {_squashed} AS text FROM (SELECT p.doc_id, p.page_id, p.page_number, array_to_string({_kept}, chr(10)) AS t FROM p LEFT JOIN r USING (doc_id))")
 def cleaned_pages(s, d):
     return pages.strip_headers_footers(table(s, d, "extracted_pages"))
 
@@ -270,10 +262,10 @@ def token_estimates(s, d):
 
 
 @register(
-    f"SELECT doc_id, CASE WHEN len(list_filter(ls, lambda x: length(x) BETWEEN 20 AND 65)) / greatest(len(ls), 1) > 0.55 THEN 'two_column' ELSE 'single_column' END AS layout FROM (SELECT doc_id, list_filter({_lines}, lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL)"
+    f"SELECT doc_id, CASE WHEN len(list_filter(ls, lambda x: length(x) BETWEEN 20 AND 65)) / greatest(len(ls), 1) > 0.55 THEN 'two_column' ELSE 'single_column' END AS layout, CASE WHEN len(ls) = 0 THEN 'unknown' WHEN len(list_filter(ls, lambda x: length(x) BETWEEN 20 AND 65)) / len(ls) > 0.65 THEN 'two-column' WHEN len(list_filter(ls, lambda x: length(x) BETWEEN 20 AND 65)) / len(ls) < 0.35 THEN 'single-column' ELSE 'mixed' END AS by_lines FROM (SELECT doc_id, list_filter({_lines}, lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL)"
 )
 def layouts(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", tx.layout_by_share("text").alias("layout"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", tx.layout_by_share("text").alias("layout"), tx.layout_by_lines("text").alias("by_lines"))
 
 
 _cues = " OR ".join(f"contains(lower(claim), '{c}')" for c in sg.CLAIM_CUES)
@@ -440,9 +432,16 @@ def upsert_outcomes(s, d):
     return linking.upsert(table(s, d, "literature_sources"), _incoming(s, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register()
+@register(
+    f"""WITH {_inc}, n AS (SELECT m.matched_id, arg_max(i, m.raw_id) AS i FROM m JOIN (SELECT raw_id, {{'title': title, 'ik': ik, 'ck': ck, 'doi': doi}} AS i FROM inc) USING (raw_id) WHERE matched_id IS NOT NULL GROUP BY 1)
+    SELECT s.id, CASE WHEN n.i IS NULL THEN s.title ELSE n.i.title END AS title, CASE WHEN n.i IS NULL THEN s.provider_item_key ELSE coalesce(n.i.ik, s.provider_item_key) END AS provider_item_key,
+      CASE WHEN n.i IS NULL THEN s.citation_key ELSE coalesce(n.i.ck, s.citation_key) END AS citation_key, CASE WHEN n.i IS NULL THEN s.doi ELSE n.i.doi END AS doi, CASE WHEN n.i IS NULL THEN 'kept' ELSE 'updated' END AS outcome
+      FROM literature_sources s LEFT JOIN n ON s.id = n.matched_id
+    UNION ALL SELECT (SELECT max(id) FROM literature_sources) + raw_id, title, ik, ck, doi, 'inserted' FROM inc JOIN m USING (raw_id) WHERE m.matched_id IS NULL"""
+)
 def upserted_sources(s, d):
-    return linking.upsert(table(s, d, "literature_sources"), _incoming(s, d))
+    u = linking.upsert(table(s, d, "literature_sources"), _incoming(s, d))
+    return u.select("id", "title", "provider_item_key", "citation_key", "doi", "outcome")
 
 
 @register()
@@ -453,10 +452,15 @@ def greedy_dedupe(s, d):
     return linking.greedy_dedupe(src.withColumn("keys", keys), "id", "id", "keys")
 
 
-@register("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY document_id, normalized_label ORDER BY id) AS r FROM candidate_terms) WHERE r = 1")
+@register(
+    """WITH st AS (SELECT DISTINCT document_id, normalized_label FROM candidate_terms WHERE review_status = 'approved')
+    SELECT min(c.id) AS id FROM candidate_terms c WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.document_id IS NOT DISTINCT FROM c.document_id AND st.normalized_label IS NOT DISTINCT FROM c.normalized_label)
+    GROUP BY c.document_id, c.normalized_label"""
+)
 def new_candidates(s, d):
+    """Labels of a document of which none is approved yet, the first row of each."""
     t = table(s, d, "candidate_terms")
-    return linking.new_rows(t.select("document_id", "normalized_label").limit(0), t, ["document_id", "normalized_label"], "id").select("id")
+    return linking.new_rows(t.where("review_status = 'approved'"), t, ["document_id", "normalized_label"], "id").select("id")
 
 
 @register(
@@ -491,14 +495,17 @@ def quality_flags(s, d):
 
 
 @register(
-    """WITH p AS (SELECT lpad(CAST(meta_id AS VARCHAR), 12, '0') AS file, lower(zotero_item_key) || '-' || CAST(meta_id AS VARCHAR) AS pid, lower(doi) AS pd, lower(title) AS pt FROM paper_metadata),
-    m AS (SELECT s.id, min(file) AS file FROM literature_sources s JOIN p ON (lower(s.normalized_doi) = pd AND pd <> '') OR (lower(s.title) = pt AND pt <> '') OR (list_contains(string_split(pid, '-'), lower(s.provider_item_key)) AND s.provider_item_key <> '') GROUP BY 1)
-    SELECT 'source-' || s.id AS entry_id, file FROM literature_sources s LEFT JOIN m USING (id) UNION ALL SELECT 'markdown-' || pid, file FROM p WHERE file NOT IN (SELECT file FROM m) AND pid IS NOT NULL"""
+    """WITH p AS (SELECT lpad(CAST(meta_id AS VARCHAR), 12, '0') AS file, lower(zotero_item_key) || '-' || CAST(meta_id AS VARCHAR) AS pid, lower(doi) AS pd, lower(title) AS pt FROM paper_metadata WHERE zotero_item_key IS NOT NULL),
+    h AS (SELECT s.id, file FROM literature_sources s JOIN p ON lower(s.normalized_doi) = pd AND pd <> '' UNION ALL SELECT s.id, file FROM literature_sources s JOIN p ON lower(s.title) = pt AND pt <> ''
+      UNION ALL SELECT s.id, file FROM literature_sources s JOIN p ON contains(pid, lower(s.provider_item_key)) AND s.provider_item_key <> ''),
+    m AS (SELECT id, min(file) AS file FROM h GROUP BY id)
+    SELECT 'source-' || s.id AS entry_id, file FROM literature_sources s LEFT JOIN m USING (id)
+    UNION ALL SELECT 'markdown-' || n, file FROM (SELECT file, row_number() OVER (ORDER BY file) AS n FROM p) WHERE file NOT IN (SELECT file FROM m)"""
 )
 def entries(s, d):
-    p = table(s, d, "paper_metadata").select(F.lpad(F.col("meta_id").cast("string"), 12, "0").alias("file"), F.concat_ws("-", F.lower("zotero_item_key"), F.col("meta_id").cast("string")).alias("paper_id"), "doi", "title").where("paper_id is not null")
-    k = table(s, d, "paper_metadata").where("zotero_item_key is not null").select(F.lpad(F.col("meta_id").cast("string"), 12, "0").alias("file"))
-    return linking.entries(table(s, d, "literature_sources"), p.join(k, "file", "left_semi")).select("entry_id", "file")
+    p = table(s, d, "paper_metadata").where("zotero_item_key is not null")
+    p = p.select(F.lpad(F.col("meta_id").cast("string"), 12, "0").alias("file"), F.concat_ws("-", F.lower("zotero_item_key"), F.col("meta_id").cast("string")).alias("paper_id"), "doi", "title")
+    return linking.entries(table(s, d, "literature_sources"), p).select("entry_id", "file")
 
 
 # --- vocabulary -----------------------------------------------------------------------------------
@@ -524,6 +531,7 @@ def contained_terms(s, d):
 
 @register()
 def matched_terms_top5(s, d):
+    """Top terms by the best of label and synonyms."""
     return sim.match_terms(table(s, d, "candidate_terms"), table(s, d, "ontology_terms"))
 
 
@@ -541,7 +549,7 @@ def graph_edges(s, d):
 
 
 @register(
-    """WITH RECURSIVE e AS (SELECT DISTINCT term_id, unnest(parents) AS p FROM ontology_terms), r AS (SELECT term_id, p AS ancestor, 1 AS distance FROM e UNION SELECT r.term_id, e.p, r.distance + 1 FROM r JOIN e ON r.ancestor = e.term_id WHERE r.distance < 20)
+    """WITH RECURSIVE e AS (SELECT DISTINCT term_id, unnest(parents) AS p FROM ontology_terms), r AS (SELECT term_id, p AS ancestor, 1 AS distance FROM e UNION SELECT r.term_id, e.p, r.distance + 1 FROM r JOIN e ON r.ancestor = e.term_id WHERE r.distance < (SELECT count(*) FROM ontology_terms))
     SELECT term_id, ancestor, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY 1, 2"""
 )
 def term_ancestors(s, d):
@@ -551,31 +559,39 @@ def term_ancestors(s, d):
 # --- exports --------------------------------------------------------------------------------------
 
 
+_q = "coalesce(evidence[1].quoted_text, '')"
+_syn = "coalesce(array_to_string(synonyms, '; '), '')"
+
+
 @register(
-    """SELECT candidate_id AS "ID", label AS "LABEL", coalesce(proposed_definition, '') AS definition, coalesce(array_to_string(synonyms, '; '), '') AS synonyms, coalesce(proposed_parent, '') AS parent,
-    coalesce(evidence[1].quoted_text, '') AS evidence FROM candidate_terms"""
+    f"""SELECT candidate_id AS "ID", label AS "LABEL", 'owl:Class' AS "TYPE", coalesce(proposed_definition, '') AS definition, coalesce(proposed_parent, '') AS parent, {_syn} AS synonyms, '' AS xref, '' AS notes,
+    '' AS curator_decision, '' AS selected_ols_match, '' AS selected_local_match, coalesce(CAST(document_id AS VARCHAR), '') AS source_document_id, {_q} AS evidence FROM candidate_terms"""
 )
 def template_rows(s, d):
     return exports.template_rows(table(s, d, "candidate_terms"))
 
 
 @register(
-    """SELECT candidate_id, document_id, label, printf('%.3f', confidence_score) AS confidence, review_status, coalesce(array_to_string(synonyms, '; '), '') AS synonyms, CAST(coalesce(len(evidence), 0) AS INTEGER) AS evidence_count FROM candidate_terms"""
+    f"""SELECT candidate_id, label, coalesce(proposed_definition, '') AS definition, review_status AS status, printf('%.3f', confidence_score) AS confidence, coalesce(proposed_parent, '') AS parent, '' AS selected_ols_label,
+    '' AS selected_ols_ontology, '' AS selected_ols_iri, '' AS selected_local_label, '' AS selected_local_iri, '' AS curator_decision, document_id AS source_document_id, {_q} AS evidence, '' AS rationale FROM candidate_terms"""
 )
 def candidate_rows(s, d):
     return exports.candidate_rows(table(s, d, "candidate_terms"))
 
 
-_y = lambda k: f"CASE WHEN coalesce({k}, '') <> '' THEN '{k}: \"' || replace(replace({k}, '\\', '\\\\'), '\"', '\\\"') || '\"' END"
+_yq = lambda k: f"'\"' || replace(replace({k}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 
 
 @register(
-    f"""SELECT meta_id, md5(concat_ws(chr(10) || chr(10), '---' || chr(10) || array_to_string(list_filter([{_y('title')}, {_y('year')}, {_y('doi')}, {_y('citation')}], lambda x: x IS NOT NULL), chr(10)) || chr(10) || '---',
-    '# ' || coalesce(title, 'Untitled'), CASE WHEN coalesce(abstract, '') <> '' THEN '## Abstract' || chr(10) || chr(10) || abstract END, '')) AS rendered FROM (SELECT meta_id, title, CAST(year AS VARCHAR) AS year, doi, citation, abstract FROM paper_metadata)"""
+    f"""WITH p AS (SELECT paper_key, min(section_id) AS first_id, string_agg('### ' || coalesce(nullif(heading, ''), 'Section') || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY section_no, section_id) FILTER (WHERE coalesce(text, '') <> '') AS parts,
+      arg_min(text, (section_no, section_id)) FILTER (WHERE heading = 'Abstract') AS abstract FROM sections_flat WHERE paper_key IS NOT NULL GROUP BY 1)
+    SELECT paper_key, md5({_strip(f"concat_ws(chr(10), '---', 'id: ' || {_yq('paper_key')}, 'title: ' || {_yq('paper_key')}, '---', '', '# ' || paper_key, '', '## Abstract', '', coalesce(abstract, ''), '', '## Notes', '', '', '', '## Extracted ontology-relevant information', '', coalesce(parts, ''))")} || chr(10)) AS rendered FROM p"""
 )
 def rendered_papers(s, d):
-    t = table(s, d, "paper_metadata").select("meta_id", "title", F.col("year").cast("string").alias("year"), "doi", "citation", "abstract", F.array().cast("array<struct<heading:string,text:string>>").alias("sections"))
-    return exports.paper_markdown(t, keep=["meta_id"]).select("meta_id", F.md5("value").alias("rendered"))
+    t = table(s, d, "sections_flat").where("paper_key is not null")
+    each = F.array_sort(F.collect_list(F.struct("section_no", "section_id", "heading", "text")))
+    p = t.groupBy("paper_key").agg(F.transform(each, lambda x: F.struct(x["heading"].alias("heading"), x["text"].alias("text"))).alias("sections"), F.min_by(F.when(F.col("heading") == "Abstract", F.col("text")), F.when(F.col("heading") == "Abstract", F.struct("section_no", "section_id"))).alias("abstract"))
+    return exports.paper_markdown(p.withColumn("id", F.col("paper_key")).withColumn("title", F.col("paper_key")), keep=["paper_key"]).select("paper_key", F.md5("value").alias("rendered"))
 
 
 @register(
@@ -586,23 +602,15 @@ def combined_papers(s, d):
     return c.select("paper_key", F.md5("corpus").alias("corpus"), "blocks")
 
 
-_sr = " + ".join(f"(CASE WHEN contains(lower(d.filename), '{w}') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(path), '{w}') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(coalesce(content, '')), '{w}') THEN 1 ELSE 0 END)" for w in ("crystal", "ontology"))
+_folder = "lower(regexp_extract(path, '([^/]*)/[^/]*$', 1))"
+_sr = " + ".join(f"(CASE WHEN contains(lower(d.filename), '{w}') THEN 3 ELSE 0 END) + (CASE WHEN contains({_folder}, '{w}') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(split_part(coalesce(content, ''), chr(12), 1)), '{w}') THEN 1 ELSE 0 END)" for w in ("crystal", "inbox", "4"))
 
 
 @register(f"SELECT id, CAST({_sr} AS INTEGER) AS score FROM literature_documents d WHERE ({_sr}) > 0")
 def storage_rank(s, d):
-    t = table(s, d, "literature_documents").withColumn("folder", F.col("path"))
-    return vocabulary.storage_rank(t, ["crystal", "ontology"]).select("id", "score")
+    return vocabulary.storage_rank(table(s, d, "literature_documents"), ["crystal", "inbox", "4"]).select("id", "score")
 
 
 @register("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, max(ts) AS last_ts FROM events GROUP BY 1")
 def audit_rollup(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.max("ts").alias("last_ts"))
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)

@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer.
+
+    For work per row that costs far more than moving the row. A table of one small file is read by one
+    task; large inputs have more partitions than cores and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoint(): the cluster's ``spark.checkpoint.dir`` if it names one.
 

@@ -24,23 +24,40 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_template(candidates: DataFrame, path: str) -> None:
+    """The template as TSV with its two header rows, in id order, as one file part per partition of a global sort."""
+    from ..operators.exports import TEMPLATE_HEADER, TEMPLATE_RULES, template_rows
+
+    spark = candidates.sparkSession
+    rules = spark.createDataFrame([(-1, *TEMPLATE_RULES)], ", ".join(["_n long", *(f"`{c}` string" for c in TEMPLATE_HEADER)]))
+    rows = template_rows(candidates)
+    ids = candidates.select(F.col("id").alias("_n"), F.col("candidate_id").alias("ID"))
+    both = rules.unionByName(rows.join(ids, "ID").select("_n", *TEMPLATE_HEADER)).orderBy("_n").drop("_n").coalesce(1)  # a template is one file
+    both.write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
 def write_markdown(files: DataFrame, root: str) -> DataFrame:
-    """One file per row (file, value) below a folder that all executors share; written atomically.
+    """One file per row (file, value) below ``root``, a folder that every executor has mounted (a network share); written atomically.
 
-    Returns (file, bytes). Tasks write their own rows, a retry overwrites the same names.
+    Returns (file, bytes). Tasks write their own rows under names of their own attempt and move them into
+    place, so retries and speculative copies never meet. On a cluster whose executors share no folder, write
+    the rows as a table instead.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
+        from pyspark import TaskContext
+
+        own = f".{TaskContext.get().taskAttemptId()}.part"
         for b in batches:
             sizes = []
             for name, value in zip(b["file"], b["value"], strict=True):
                 target = safe_target(root, name)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(f"{target}.part", "w", encoding="utf-8") as f:
+                with open(target + own, "w", encoding="utf-8") as f:
                     f.write(value)
-                os.replace(f"{target}.part", target)
+                os.replace(target + own, target)
                 sizes.append(len(value.encode()))
             yield pd.DataFrame({"file": b["file"], "bytes": sizes})
 

@@ -168,4 +168,4 @@ def test_front_matter_and_sections(spark):
 def test_exports(spark):
     p = spark.createDataFrame([('A "q"', "2001", None, "", "abs", [("H", "t"), ("E", "")])], "title string, year string, doi string, citation string, abstract string, sections array<struct<heading:string,text:string>>")
     v = exports.paper_markdown(p).first().value
-    assert v == '---\ntitle: "A \\"q\\""\nyear: "2001"\n---\n\n# A "q"\n\n## Abstract\n\nabs\n\n### H\n\nt'
+    assert v == '---\ntitle: "A \\"q\\""\nyear: "2001"\n---\n\n# A "q"\n\n## Abstract\n\nabs\n\n## Notes\n\n\n\n## Extracted ontology-relevant information\n\n### H\n\nt\n'
