@@ -212,15 +212,15 @@ def ontology_terms(spark: SparkSession, path: str, most: int | None = None, stri
     RDF/XML and Turtle need a library that is not at hand: convert them to N-Triples first.
     """
     suffix = path[path.rfind(".") :].lower() if "." in path else ""
+    if suffix not in (".obo", ".tsv", ".nt"):
+        raise ValueError(f"unsupported ontology file type: {suffix}")
     files = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), "value")
     if suffix == ".obo":
         terms = obo_terms(files, strict_compat)
     elif suffix == ".tsv":
         terms = tsv_terms(files)
-    elif suffix == ".nt":
-        terms = triple_terms(triples(files))
     else:
-        raise ValueError(f"unsupported ontology file type: {suffix}")
+        terms = triple_terms(triples(files))
     return terms.orderBy("ord" if "ord" in terms.columns else "iri").limit(most) if most is not None else terms
 
 
