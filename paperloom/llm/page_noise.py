@@ -5,8 +5,11 @@
 2. Per text: running headers, footers and page numbers are lines at page edges, or lines that
    interrupt a paragraph at a page break, which the line filling does not explain; words divided at
    a line end are joined unless the lexicon knows the compound with its hyphen.
-3. Misread words: every trusted word that confusion pairs make of a word, as many as the weighted
-   distance accepts, is a candidate; frequency and bigram context pick the repair.
+3. Misread words: candidates are the trusted words that confusion pairs make of a word (any number of pairs that the weighted
+   distance accepts, found by a walk over prefixes) and those at one other edit (found by a symmetric-deletion
+   index). The weighted distance counts confusion pairs least, then swaps, then other edits. A repair by confusion
+   pairs alone is decided by distance and frequency, neighbours breaking ties; any other edit also needs a
+   neighbour that often stands beside the repair, and never changes just the ending of a word.
 
 NULL and empty texts have no noise and stay as they are; repeated rows are judged alike; a text of
 headers only becomes empty.
@@ -15,13 +18,17 @@ headers only becomes empty.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, spread
+
 #: Least share of all words, and least count, of a trusted word (at most 1/share words are trusted).
 SHARE, LEAST = 1e-5, 8
 #: A misread word is at least so many times rarer than its repair.
@@ -32,8 +39,11 @@ CONFUSIONS = """
 cl d, rn m, in m, ni m, nn m, m rn, m in, vv w, w vv, li h, h li, b h, h b, ii u, u ii, n u, u n, ri n, n ri, d ti, d cl, ti d, tl d, fi h, tt u, rri m, lc k, ji p, fl h, a o, o a, y v, v y, z 2, 2 z, ¢ c, € e, é e
 """
 _pairs = {tuple(x.split()) for x in CONFUSIONS.replace("\n", " ").split(",")}
-#: Cost of one confusion pair.
-PAIR_COST = 0.3
+#: Cost of one confusion pair, of a swap of neighbours, of any other edit; accepted up to MOST.
+PAIR_COST, SWAP_COST, EDIT_COST = 0.3, 0.7, 0.9
+MOST = 0.95
+#: Least length of a word in which edits other than confusion pairs are repaired.
+LONG = 5
 _by_wrong: dict[str, list[str]] = {}
 for _w, _r in _pairs:
     _by_wrong.setdefault(_w, []).append(_r)
@@ -75,8 +85,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def trusted_words(texts: DataFrame, share: float = SHARE, least: int = LEAST) -> dict[str, int]:
     """The frequent words. At most 1/share words can have that share, which bounds what is collected."""
-    from ..session import cut_lineage
-
     counts = cut_lineage(word_counts(texts))
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("n") >= max(least, share * total)).limit(int(1 / share)).collect()
@@ -85,20 +93,32 @@ def trusted_words(texts: DataFrame, share: float = SHARE, least: int = LEAST) ->
 
 def context_pairs(texts: DataFrame, words: dict[str, int], share: float = SHARE, least: int = LEAST) -> dict[tuple[str, str], int]:
     """Frequent pairs of trusted neighbours; their number is bounded as that of the words is."""
-    known = frozenset(words)
+    listed = sorted(words)
+    place = {w: i for i, w in enumerate(listed)}
+    size = len(listed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        at: dict[str, int] = {}
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def number(raw: str) -> int:
+            if len(at) > 500_000:
+                at.clear()
+            n = at[raw] = place.get(_strip(raw).lower(), -1)
+            return n
+
         for b in batches:
-            for x in b.iloc[:, 0]:
-                if x:
-                    ws = [_strip(w).lower() for w in x.split()]
-                    c.update((p, q) for p, q in zip(ws, ws[1:], strict=False) if p in known and q in known)
-        yield pd.DataFrame({"p": [k[0] for k in c], "q": [k[1] for k in c], "n": list(c.values())})
+            ids = [at[w] if w in at else number(w) for x in b.iloc[:, 0] if x for w in (*x.split(), "")]
+            a = np.array(ids, dtype=np.int64)
+            both = (a[:-1] >= 0) & (a[1:] >= 0)
+            k, n = np.unique(a[:-1][both] * size + a[1:][both], return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+        yield pd.DataFrame({"k": keys, "n": counts})
 
     total = sum(words.values())
-    rows = texts.mapInPandas(run, "p string, q string, n long").groupBy("p", "q").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, share * total)).limit(int(1 / share)).collect()
-    return {(r.p, r.q): r.n for r in rows}
+    rows = texts.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, share * total)).limit(int(1 / share)).collect()
+    return {(listed[r.k // size], listed[r.k % size]): r.n for r in rows}
 
 
 # --- misread words ----------------------------------------------------------------------------
@@ -107,12 +127,15 @@ def context_pairs(texts: DataFrame, words: dict[str, int], share: float = SHARE,
 class Repairer:
     """Candidates over the trusted words by confusion pairs, weighted distance, context."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int] | None = None, most: float = 0.95) -> None:
-        self.words, self.pairs, self.most = words, pairs or {}, most
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int] | None = None, most: float = MOST) -> None:
+        """Without ``pairs`` no context is known, and edits of any kind are decided by distance and frequency."""
+        self.words, self.pairs, self.most, self.blind = words, pairs or {}, most, pairs is None
         self.targets = {w for w in words if len(w) >= 3 and any(c.isalpha() for c in w)}
         self.prefixes: set[str] | None = None
+        self.deleted: dict[str, list[str]] | None = None
         self.seen: dict[str, tuple[str, ...]] = {}
-        self.judged: dict[str, bool] = {}
+        self.near: dict[str, tuple[str, ...]] = {}
+        self.judged: dict[str, bool | None] = {}
 
     def _reached(self, w: str) -> dict[str, float]:
         """The targets that confusion pairs make of w, with their least cost, by a walk over the targets' prefixes."""
@@ -139,14 +162,7 @@ class Repairer:
         return out
 
     def cost(self, w: str, right: str) -> float:
-        """Cost of the confusion pairs from the misreading w to the right word; 9 where they do not lead there."""
-        k = 0
-        while k < min(len(w), len(right)) and w[k] == right[k]:
-            k += 1
-        w, right, k = w[k:], right[k:], 0
-        while k < min(len(w), len(right)) and w[-1 - k] == right[-1 - k]:
-            k += 1
-        w, right = w[: len(w) - k], right[: len(right) - k]
+        """Weighted edit distance from the misreading w to the right word; 9 beyond ``most``."""
         n, m = len(w), len(right)
         big = 9.0
         d = [[big] * (m + 1) for _ in range(n + 1)]
@@ -156,15 +172,46 @@ class Repairer:
                 v = d[i][j]
                 if v > self.most:
                     continue
-                if i < n and j < m and w[i] == right[j]:
-                    d[i + 1][j + 1] = min(d[i + 1][j + 1], v)
-                for a in range(1, LONGEST_WRONG + 1):
-                    if i + a > n:
-                        break
+                if i < n and j < m:
+                    d[i + 1][j + 1] = min(d[i + 1][j + 1], v if w[i] == right[j] else v + EDIT_COST)
+                if i < n:
+                    d[i + 1][j] = min(d[i + 1][j], v + EDIT_COST)
+                if j < m:
+                    d[i][j + 1] = min(d[i][j + 1], v + EDIT_COST)
+                if w[i : i + 2] == right[j : j + 2][::-1] and i + 1 < n and j + 1 < m:
+                    d[i + 2][j + 2] = min(d[i + 2][j + 2], v + SWAP_COST)
+                for a in range(1, min(LONGEST_WRONG, n - i) + 1):
                     for r in _by_wrong.get(w[i : i + a], ()):
                         if right.startswith(r, j):
                             d[i + a][j + len(r)] = min(d[i + a][j + len(r)], v + PAIR_COST)
-        return d[n][m]
+        return d[n][m] if d[n][m] <= self.most + 1e-9 else big
+
+    def edited(self, w: str) -> tuple[str, ...]:
+        """Trusted words at one edit of an unknown word, best first, by the deletion index; word endings are no edits."""
+        hit = self.near.get(w)
+        if hit is not None:
+            return hit
+        if self.deleted is None:
+            self.deleted = {}
+            for t in self.targets:
+                if len(t) >= LONG:
+                    for k in {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}:
+                        self.deleted.setdefault(k, []).append(t)
+        out: tuple[str, ...] = ()
+        if len(w) >= LONG and w.isalpha() and w not in self.words:
+            found = {t for k in (w, *(w[:i] + w[i + 1 :] for i in range(len(w)))) for t in self.deleted.get(k, ()) if abs(len(t) - len(w)) < 2}
+            costs = {t: c for t in found if not self._ending(w, t) and (c := self.cost(w, t)) <= self.most}
+            out = tuple(sorted(costs, key=lambda t: (costs[t], -self.words[t])))
+        if len(self.near) > 500_000:
+            self.near.clear()
+        self.near[w] = out
+        return out
+
+    @staticmethod
+    def _ending(w: str, t: str) -> bool:
+        """Do the words differ in their last letters alone (number, tense), other than by a letter read twice?"""
+        k = min(len(w), len(t)) - 1
+        return w[:k] == t[:k] and not (len(w) == len(t) + 1 and w[:-1] == t and w[-1] == w[-2])
 
     def candidates(self, w: str) -> tuple[str, ...]:
         """Accepted repairs of a word, best first; () for a word that is right or unknown."""
@@ -199,28 +246,45 @@ class Repairer:
             start, options = low, self.candidates(low)
         if not options and raw.rstrip(".,;:").endswith(("!", ")")) and (t := raw.rstrip(".,;:").lower()) != core.lower():
             start, options = t, self.candidates(t)
+        beside = lambda t: self.pairs.get((before, t), 0) + self.pairs.get((t, after), 0)
         if not options:
             if len(parts) > 1:
                 fixed = [p if p in self.words else (self.candidates(p) or (None,))[0] for p in parts]
-                if all(fixed):
-                    return raw.replace(core, "-".join(fixed))
-            return None
-        best = max(options[:5], key=lambda t: (self.pairs.get((before, t), 0) + self.pairs.get((t, after), 0), -self.cost(start, t)))
+                return raw.replace(core, "-".join(fixed)) if all(fixed) else None
+            options = tuple(t for t in self.edited(inner) if self.blind or beside(t))
+            start = inner
+            if not options:
+                return None
+        best = max(options, key=lambda t: (beside(t), -self.cost(start, t)))
         if core[:1].isupper():
             best = best[0].upper() + best[1:]
         at = raw.lower().find(start)
         return raw[:at] + best + raw[at + len(start) :]
 
-    def misread(self, raw: str) -> bool:
-        """Whether repair() changes the token; its neighbours decide only between several repairs."""
-        hit = self.judged.get(raw)
-        if hit is None:
+    def misread(self, raw: str) -> bool | None:
+        """Whether repair() changes the token; None if that depends on its neighbours."""
+        hit = self.judged.get(raw, 0)
+        if hit == 0:
             if len(self.judged) > 500_000:
                 self.judged.clear()
-            hit = self.judged[raw] = self.repair(raw) is not None
+            hit = self.repair(raw) is not None
+            if not hit and not self.blind and self.edited(raw.strip(_edge).lower().lstrip("[{\"“«'‘(")):
+                hit = None
+            self.judged[raw] = hit
         return hit
 
 
+_repairers: dict[str, Repairer] = {}
+
+
+def repairer(token: str, words: dict[str, int], pairs: dict[tuple[str, str], int]) -> Repairer:
+    """One repairer per worker and query, so that its indexes and caches serve all tasks."""
+    if token not in _repairers:
+        _repairers.clear()
+        _repairers[token] = Repairer(words, pairs)
+    return _repairers[token]
+
+
 # --- lines ------------------------------------------------------------------------------------
 
 
@@ -367,8 +431,17 @@ def examine(text: str | None, edges: bool, fix: Repairer, rewrite: bool = False)
     if divided:
         noise.add("hyphen")
     if not rewrite:
-        if any(fix.misread(w) for w in set(body.split())):
+        judged = {w: fix.misread(w) for w in set(body.split())}
+        open_ = {w for w, m in judged.items() if m is None}
+        if any(judged.values()):
             noise.add("ocr")
+        elif open_:
+            for p in body.split("\n\n"):
+                ws = p.split(" ")
+                low = lambda k: _strip(ws[k]).lower() if 0 <= k < len(ws) else ""  # noqa: B023, E731
+                if any(w in open_ and fix.repair(w, low(k - 1), low(k + 1)) is not None for k, w in enumerate(ws)):
+                    noise.add("ocr")
+                    break
         return noise, None
     out = []
     for p in body.split("\n\n"):
@@ -394,25 +467,26 @@ def items(pages: DataFrame, sections: DataFrame) -> DataFrame:
 def noise_found(texts: DataFrame) -> DataFrame:
     """(item_table, item_id, noise): each text and each kind of noise in it."""
     words = trusted_words(texts.select("text"))
+    pairs, token = context_pairs(texts.select("text"), words), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fix = Repairer(words)
+        fix = repairer(token, words, pairs)
         for b in batches:
             rows = [(t, i, k) for t, i, x in zip(b.item_table, b.item_id, b.text, strict=True) for k in sorted(examine(x, t == "extracted_pages", fix)[0])]
             yield pd.DataFrame(rows, columns=["item_table", "item_id", "noise"])
 
-    return texts.where(F.length("text") > 0).mapInPandas(run, "item_table string, item_id long, noise string")
+    return spread(texts.where(F.length("text") > 0), "item_id").mapInPandas(run, "item_table string, item_id long, noise string")
 
 
 def repaired(texts: DataFrame) -> DataFrame:
     """(item_table, item_id, noise array, text): every text as continuous readable paragraphs."""
     words = trusted_words(texts.select("text"))
-    pairs = context_pairs(texts.select("text"), words)
+    pairs, token = context_pairs(texts.select("text"), words), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fix = Repairer(words, pairs)
+        fix = repairer(token, words, pairs)
         for b in batches:
             got = [examine(x, t == "extracted_pages", fix, True) for t, x in zip(b.item_table, b.text, strict=True)]
             yield pd.DataFrame({"item_table": b.item_table, "item_id": b.item_id, "noise": [sorted(g[0]) for g in got], "text": [g[1] for g in got]})
 
-    return texts.mapInPandas(run, "item_table string, item_id long, noise array<string>, text string")
+    return spread(texts, "item_id").mapInPandas(run, "item_table string, item_id long, noise array<string>, text string")
