@@ -263,8 +263,8 @@ class Repairer:
 
     def misread(self, raw: str) -> bool | None:
         """Whether repair() changes the token; None if that depends on its neighbours."""
-        hit = self.judged.get(raw, 0)
-        if hit == 0:
+        hit = self.judged.get(raw, "new")
+        if hit == "new":
             if len(self.judged) > 500_000:
                 self.judged.clear()
             hit = self.repair(raw) is not None
@@ -431,9 +431,9 @@ def examine(text: str | None, edges: bool, fix: Repairer, rewrite: bool = False)
     if divided:
         noise.add("hyphen")
     if not rewrite:
-        judged = {w: fix.misread(w) for w in set(body.split())}
-        open_ = {w for w, m in judged.items() if m is None}
-        if any(judged.values()):
+        kinds = {w: fix.misread(w) for w in set(body.split())}
+        open_ = {w for w, m in kinds.items() if m is None}
+        if any(kinds.values()):
             noise.add("ocr")
         elif open_:
             for p in body.split("\n\n"):
