@@ -24,37 +24,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_on_unique
+from ..session import cut_lineage
 
 #: Characters drawn alike in common fonts; each line is one class.
 LOOKALIKES = """
-A А Α
-B В Β
-C С Ϲ
-E Е Ε
-H Н Η
+A А Α Ꭺ ꓮ
+B В Β Ᏼ ꓐ
+C С Ϲ Ꮯ ꓚ
+D Ꭰ ꓓ
+E Е Ε Ꭼ ꓰ
+F ꓝ
+G Ꮐ ꓖ
+H Н Η Ꮋ ꓧ
 I І Ι
-J Ј
-K К Κ
-M М Μ
-N Ν
-O О Ο
-P Р Ρ
-S Ѕ
-T Т Τ
-X Х Χ
-Y Υ Ү
-Z Ζ
+J Ј Ꭻ ꓙ
+K К Κ Ꮶ ꓗ
+L Ꮮ ꓡ
+M М Μ Ꮇ ꓟ
+N Ν ꓠ
+O О Ο Օ ꓳ
+P Р Ρ Ꮲ ꓑ
+R Ꭱ ꓣ
+S Ѕ Տ Ꮪ ꓢ
+T Т Τ Ꭲ ꓔ
+U Ս ꓴ
+V Ꮩ ꓦ
+W Ꮃ ꓪ
+X Х Χ ꓫ
+Y Υ Ү ꓬ
+Z Ζ Ꮓ ꓜ
 a а
 c с ϲ
 d ԁ
 e е
-h һ
+g ց
+h һ հ
 i і
 j ј
-o о ο
+l ӏ
+n ո
+o о ο օ
 p р
-q ԛ
+q ԛ զ
 s ѕ
+u ս
 v ν ѵ
 w ԝ
 x х
@@ -217,19 +230,31 @@ def consistent_form(docs: DataFrame, text: str = "text", form: str = "form", rew
 BLOCK = 2000
 
 
+def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """(id, t, k): digests of each text and of its consistent form; the texts are rewritten once and stop here."""
+    narrow = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text"))
+    digest = lambda c: F.md5(F.to_binary(c, F.lit("utf-8")))
+    return cut_lineage(consistent_form(narrow).select("id", digest("text").alias("t"), digest("form").alias("k")))
+
+
+def alike_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, texts, members): the class of every text that prints like another one, by its smallest id.
+
+    One row per document, however large a class is; partial counts of each (class, text) come first.
+    """
+    keyed = _keyed(docs, ident, text)
+    per_text = keyed.groupBy("k", "t").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    per = per_text.groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("members")).where("texts > 1")
+    return join_on_unique(keyed, per, "k", "members").select(F.col("id").alias(ident), "class_id", "texts", "members")
+
+
 def alike_pairs(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b): every pair whose texts print alike but differ, smaller id first.
 
     Only classes with at least two different texts are paired; a large class is spread over
     blocks of its rows, so that no task holds more than BLOCK rows against it.
     """
-    narrow = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    keyed = consistent_form(narrow).select(
-        "id", F.md5(F.to_binary("text", F.lit("utf-8"))).alias("t"), F.md5(F.to_binary("form", F.lit("utf-8"))).alias("k")
-    )
-    from ..session import cut_lineage
-
-    keyed = cut_lineage(keyed)  # ids and digests only; the texts are rewritten once
+    keyed = _keyed(docs, ident, text)
     mixed = (
         keyed.groupBy("k").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("k", "n")
     )

@@ -26,8 +26,8 @@ from .tokens import SPLIT, VOCABULARY, tokenizer
 
 #: Ring positions per pattern: selection is exact to 1/BUCKETS of a pattern's tokens.
 BUCKETS = 4096
-#: Patterns that the driver accepts (rows of its graph), and their histogram is BUCKETS times that.
-MAX_PATTERNS = 512
+#: Patterns and weighted sources that the driver's flow graph holds at most; it is an error, not a cut, beyond that.
+MAX_PATTERNS, MAX_SOURCES = 20_000, 1_000
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = SPLIT) -> DataFrame:
@@ -116,11 +116,11 @@ def mix(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, se
 
     ``total_tokens`` is the size of the mixture; by default the largest size at which every source
     that has records can have its share. With a larger size, sources end at their repetition cap.
-    ``weights`` is a small table of sources, targets and caps; at most 63 sources are accepted.
+    ``weights`` is a small table of sources, targets and caps; at most MAX_SOURCES are accepted.
     """
-    spec = weights.where("source is not null and target_share > 0").orderBy("source").limit(64).collect()
-    if len(spec) > 63:
-        raise ValueError("more than 63 weighted sources")
+    spec = weights.where("source is not null and target_share > 0").orderBy("source").limit(MAX_SOURCES + 1).collect()
+    if len(spec) > MAX_SOURCES:
+        raise ValueError("too many weighted sources for one flow graph")
     names = [r.source for r in spec]
     share, repeats = [float(r.target_share) for r in spec], [max(1, r.max_repeats or 1) for r in spec]
     kept = docs.where(F.col("text").isNotNull() & F.col("source").isin(names))
@@ -140,7 +140,7 @@ def mix(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, se
     total = _best_size(supply, share, member, repeats) if total_tokens is None else total_tokens
     flow = min_cost_flow(supply, [int(total * x) for x in share], member, repeats)
 
-    rows = []  # (pattern, bucket, source, uses): each source's stretch of the pattern's ring
+    rows: list[tuple] = []  # (pattern, source, first bucket, last bucket, uses): each source's stretch of the pattern's ring
     for p, got, n in zip(patterns, flow, supply, strict=True):
         start = 0.0
         for s, f in sorted(got.items()):
@@ -148,15 +148,18 @@ def mix(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, se
             for b in sorted(hist[p]):
                 mid = at + hist[p][b] / 2
                 uses = math.ceil((stop - mid) / n) - math.ceil((start - mid) / n)
-                if uses > 0:
-                    rows.append((p, b, names[s], uses))
                 at += hist[p][b]
+                if rows and rows[-1][:2] == (p, names[s]) and rows[-1][4] == uses:
+                    rows[-1] = (*rows[-1][:3], b, uses)
+                else:
+                    rows.append((p, names[s], b, b, uses))
             start = stop
-    schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("uses", T.IntegerType())])
-    plan = docs.sparkSession.createDataFrame(rows, schema)
+    fields = [("pattern", T.StringType()), ("source", T.StringType()), ("first", T.IntegerType()), ("last", T.IntegerType()), ("uses", T.IntegerType())]
+    plan = docs.sparkSession.createDataFrame([r for r in rows if r[4] > 0], T.StructType([T.StructField(n, t) for n, t in fields]))
     held = records.select("pattern", "bucket", "tokens", F.explode("held").alias("h")).select("pattern", "bucket", "tokens", F.col("h.source").alias("source"), F.col("h.doc_id").alias("doc_id"))
-    # the plan has at most MAX_PATTERNS * BUCKETS * sources short rows
-    return held.join(F.broadcast(plan), ["pattern", "bucket", "source"]).select("doc_id", "source", "tokens", "uses")
+    # uses change at most at the two ends of a stretch: a few short rows for each source of each pattern
+    chosen = held.join(F.broadcast(plan), ["pattern", "source"]).where(F.col("bucket").between(F.col("first"), F.col("last")))
+    return chosen.select("doc_id", "source", "tokens", "uses")
 
 
 def share_report(mixed: DataFrame, weights: DataFrame) -> DataFrame:

@@ -97,6 +97,26 @@ def p7_fill(s: SparkSession, d: str) -> DataFrame:
     return ct.fill_report(p7_containers(s, d), _capacity(s, d))
 
 
+def p5_values(s: SparkSession, d: str) -> DataFrame:
+    """Values per intake and field that the rates refer to."""
+    rows = table(s, d, "paper_metadata")
+    return tr.rates(rows, tr.truncated(rows)).select("intake", "field", F.col("values").alias("n"))
+
+
+def p7_totals(s: SparkSession, d: str) -> DataFrame:
+    """Every text is packed once and whole, and no container is overfull."""
+    packed = p7_containers(s, d)
+    used = packed.groupBy("container_id").agg(F.sum("tokens").alias("used"))
+    most = used.agg((F.max("used") <= _capacity(s, d)).alias("fits"))
+    parts = packed.groupBy("doc_id").agg(F.sum(F.col("stop") - F.col("start")).alias("chars"))
+    return parts.agg(F.count(F.lit(1)).alias("texts"), F.sum("chars").alias("chars")).join(most, how="cross")  # one row each
+
+
+def p8_targets(s: SparkSession, d: str) -> DataFrame:
+    """Which of the targets the mixture could serve."""
+    return p8_shares(s, d).select("source", "target_share", (F.col("tokens") > 0).alias("present"))
+
+
 def p8_mixture(s: SparkSession, d: str) -> DataFrame:
     return mx.mix(table(s, d, "documents"), table(s, d, "source_weights"))
 
@@ -109,6 +129,10 @@ def p9_found(s: SparkSession, d: str) -> DataFrame:
     return la.alike_pairs(table(s, d, "documents"))
 
 
+def p9_classes(s: SparkSession, d: str) -> DataFrame:
+    return la.alike_classes(table(s, d, "documents"))
+
+
 def p9_forms(s: SparkSession, d: str) -> DataFrame:
     return la.consistent_form(table(s, d, "documents").select("doc_id", "text"))
 
@@ -123,6 +147,11 @@ def oracle_sql() -> dict[str, str]:
             WITH k AS (SELECT id, document_id, regexp_replace(upper(label), '[^\p{L}\p{N}]+', '', 'g') AS t FROM candidate_terms)
             SELECT min(id) AS id, count(*) AS copies FROM k WHERE t <> '' AND document_id IS NOT NULL
             GROUP BY document_id, t HAVING count(*) > 1""",
+        "p5_values": """
+            SELECT intake, field, count(*) AS n FROM (SELECT intake, 'title' AS field, title AS v FROM paper_metadata UNION ALL SELECT intake, 'pdf_filename', pdf_filename FROM paper_metadata) WHERE trim(v) <> '' GROUP BY 1, 2""",
+        "p7_totals": """SELECT count(*) AS texts, sum(n_chars) AS chars, true AS fits FROM documents WHERE text IS NOT NULL""",
+        "p8_targets": """
+            SELECT w.source, w.target_share, EXISTS (SELECT 1 FROM documents d WHERE d.source = w.source AND d.text <> '') AS present FROM source_weights w""",
         "p2_found": """
             SELECT 'sections_flat' AS item_table, section_id AS item_id FROM sections_flat
             WHERE length(text) > (SELECT max_size FROM size_limits WHERE item_table = 'sections_flat')

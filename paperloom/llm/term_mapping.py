@@ -154,6 +154,12 @@ def _explode_keys(entry: bool, depth: int | None = None):
     return run
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of which each is worth a distance, over all cores: they are small, so their number must not be judged by their bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def repairs(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, reps: array of (v, sim, n)) for the distinct ``words.w`` against ``vocabulary`` (w, n).
 
@@ -163,7 +169,7 @@ def repairs(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     b = vocabulary.select("w", "n").mapInPandas(_explode_keys(True), "w string, n long, key array<long>").select(F.col("w").alias("v"), "n", F.explode("key").alias("key"))
 
     sim = F.pandas_udf(lambda w, v: pd.Series([similarity(x, y) for x, y in zip(w, v, strict=True)]), T.DoubleType())
-    pairs = a.join(b, "key").select("w", "v", "n").distinct().withColumn("sim", sim("w", "v")).where("sim > 0.6")
+    pairs = _spread(a.join(b, "key").select("w", "v", "n").distinct(), "w", "v").withColumn("sim", sim("w", "v")).where("sim > 0.6")
     reps = pairs.groupBy("w").agg(F.collect_list(F.struct("v", "sim", "n")).alias("reps"))
     exact = F.filter("reps", lambda r: r["sim"] >= 0.97)
     return reps.select(F.col("w").alias("token"), F.when(F.size(exact) > 0, exact).otherwise(F.col("reps")).alias("reps"))
@@ -230,22 +236,24 @@ def map_labels(labels: DataFrame, terms: DataFrame) -> DataFrame:
     # one token of a label may stand for two neighbours of an entry
     forms = entries.mapInPandas(_entry_forms, "entry long, term_id string, matched_name string, toks array<string>")
     forms = cut_lineage(forms.withColumn("form", F.xxhash64("entry", "toks")))
-    postings = forms.select("entry", "form", "toks", F.explode(F.array_distinct("toks")).alias("w")).groupBy("w").agg(F.collect_list(F.struct("form", F.size("toks").alias("size"))).alias("entries"), F.count_distinct("entry").alias("n"))
+    postings = forms.select("entry", "form", F.size("toks").alias("size"), F.explode(F.array_distinct("toks")).alias("w"))
+    vocabulary = postings.select("w", "entry").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     n_entries = entries.count()
 
     spelled = labels.select(F.col("label").alias("name")).where("name is not null").distinct()
     spelled = cut_lineage(spelled.mapInPandas(_tokenised, "name string, toks array<string>, squash string").where("size(toks) > 0"))
     each = spelled.select("name", F.size("toks").alias("size"), F.posexplode("toks").alias("pos", "token"))
     words = each.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    fixed = repairs(words.select(F.col("token").alias("w")), postings.select("w", "n"))
+    fixed = repairs(words.select(F.col("token").alias("w")), vocabulary)
     fixed = cut_lineage(fixed.join(words, "token"))
     placed = join_on_unique(each, fixed, "token", "uses").groupBy("name", "size").agg(F.collect_list(F.struct(F.aggregate("reps", F.lit(0).cast("long"), lambda x, r: x + r["n"]).alias("total"), "pos", "token", "reps")).alias("found"))
     placed = placed.where(F.size("found") == F.col("size"))
     rarest = F.array_min(F.transform("found", lambda x: F.struct(x["total"].alias("total"), x["pos"].alias("pos"), x["reps"].alias("reps"))))
     looked = placed.select("name", "found", F.explode(rarest["reps"]).alias("r")).select("name", "found", F.col("r.v").alias("w"))
-    hits = join_on_unique(looked, postings, "w", "n").select("name", "found", F.explode(F.filter("entries", lambda e: e["size"] == F.size("found"))).alias("e")).select("name", "found", F.col("e.form").alias("form"))
+    # postings are rows; only forms of as many tokens as the label are met
+    hits = looked.withColumn("size", F.size("found")).join(postings.select("w", "size", "form"), ["w", "size"]).select("name", "found", "form")
     # every label token carries its repairs, so the entry's tokens are all that is joined
-    hits = hits.join(forms.select("form", "term_id", "matched_name", "toks"), "form")
+    hits = _spread(hits.join(forms.select("form", "term_id", "matched_name", "toks"), "form"), "name", "form")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -268,7 +276,7 @@ def map_labels(labels: DataFrame, terms: DataFrame) -> DataFrame:
 
     # distinct spellings without blanks are compared, of any number of tokens
     far = F.pandas_udf(lambda a, b: pd.Series([1 - d / len(x) if (d := distance(x, y, 2)) <= 2 else 0.0 for x, y in zip(a, b, strict=True)]), T.DoubleType())
-    blanks = keyed(spelled, "a").join(keyed(entries, "b"), "key").select("a", "b").distinct()
+    blanks = _spread(keyed(spelled, "a").join(keyed(entries, "b"), "key").select("a", "b").distinct(), "a", "b")
     blanks = blanks.withColumn("score", F.when(F.col("a") == F.col("b"), 1.0).otherwise(far("a", "b")) - 0.01).where("score > 0.8")
     blanks = blanks.join(entries.select(F.col("squash").alias("b"), "term_id", F.col("name").alias("matched_name")), "b").join(spelled.select("name", F.col("squash").alias("a")), "a")
     both = by_tokens.unionByName(blanks.select(F.col("name").alias("label"), "term_id", "matched_name", "score"))

@@ -7,6 +7,7 @@ import string
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from paperloom.llm import mixture as mx
 from paperloom.llm import page_noise as pg
 from paperloom.llm import paper_names as names
 from paperloom.llm import pieces as pc
+from paperloom.llm import retrieval as rt
 from paperloom.llm import term_mapping as tm
 from paperloom.llm import tokens as tk
 from paperloom.llm import truncation as tr
@@ -350,3 +352,113 @@ def test_queries_agree_with_sql(spark):
         r = con.sql(sql)
         at = [r.columns.index(c) for c in df.columns]
         assert sorted(map(tuple, df.collect())) == sorted(tuple(x[i] for i in at) for x in r.fetchall())
+
+
+# --- 3: retrieval ---
+
+
+def brute(records, query, ratio):
+    """All records within ratio of the best BM25 score, by definition."""
+    n, mean = len(records), sum(sum(r.values()) for r in records) / len(records)
+    df = defaultdict(int)
+    for r in records:
+        for t in r:
+            df[t] += 1
+    score = {}
+    for k, r in enumerate(records):
+        length = sum(r.values())
+        x = sum(rt.idf(float(df[t]), n) * rt.impact(r[t], length, mean) for t in query if t in r)
+        if x > 0:
+            score[k] = float(x)
+    best = max(score.values(), default=0.0)
+    return {k for k, v in score.items() if v >= ratio * best - 1e-9}, best
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_pruned_search_equals_brute_force(few, monkeypatch):
+    monkeypatch.setattr(rt, "FEW", few)
+    r = random.Random(11)
+    pool = [int(2**40 * r.random()) for _ in range(60)]
+    records = [{t: r.randint(1, 3) for t in r.choices(pool, weights=[1 / (i + 1) for i in range(60)], k=r.randint(1, 12))} for _ in range(400)]
+    keys = [sorted(x) for x in records]
+    n, mean = len(records), sum(sum(x.values()) for x in records) / len(records)
+    df = defaultdict(int)
+    for x in records:
+        for t in x:
+            df[t] += 1
+    parts = []
+    for half in (range(0, 250), range(250, 400)):
+        terms, starts, recs, tf, lengths = rt.Shard.build([np.array(keys[k]) for k in half], [np.array([records[k][t] for t in keys[k]]) for k in half])
+        weights = rt.idf(np.array([df[int(t)] for t in terms], float), n)
+        parts.append((rt.Shard(terms, starts, recs, rt.impact(tf, lengths[recs], mean), weights, len(half)), [list(half)]))
+
+    class Two:
+        shards = 2
+
+        def shard(self, k):
+            return parts[k]
+
+    queries = [sorted(set(r.sample(pool, r.randint(1, 10)) + [5])) for _ in range(150)]
+    for ratio in (0.4, 0.7, 1.0):
+        found = [[] for _ in queries]
+        best, _ = rt.search_all(Two(), [np.array(q) for q in queries], ratio, lambda q, c, rec, sc, f=found: f[q].extend((c[0][k], x) for k, x in zip(rec, sc, strict=True)))
+        for q, query in enumerate(queries):
+            want, top = brute(records, query, ratio)
+            assert abs(best[q] - top) < 1e-9
+            assert {k for k, x in found[q] if x >= ratio * best[q] - 1e-9} == want
+
+
+def test_mutual_nearest_rejects(spark):
+    s = spark.createDataFrame(
+        [(1, "Crystal growth rate of lysozyme in agitated vessels under low pressure", "10.1000/abc", "2001", [("Smith", "A", "author")])] + [(k, f"Other words {k} about topic {k * 7}", None, None, None) for k in range(2, 40)],
+        "id long, title string, doi string, year string, creators array<struct<family:string,given:string,type:string>>",
+    )
+    d = spark.createDataFrame(
+        [(1, "a.pdf", "# Crystal growth rate of lysozyme in agitated vessels under low pressure\n\nDOI: 10.1000/abc\n\nText here.", None), (2, "Crystal growth rate of lysozyme.pdf", None, None)],
+        "id long, filename string, content string, source_id long",
+    )
+    rows = {(r.source_id, r.document_id): r.confidence for r in cm.match(s, d).collect()}
+    # the second file states a short start of the title alone, far less than what the first one shares with the record
+    assert set(rows) == {(1, 1)} and 0 < rows[1, 1] <= 1
+    none = s.limit(0)
+    assert cm.match(none, d).count() == 0 and cm.match(s, d.limit(0)).count() == 0
+
+
+# --- 2: tree ---
+
+
+def test_no_two_neighbours_fit_together():
+    r = random.Random(1)
+    bits = ["word ", "Sentence end. ", "\n", "\n\n", "# Head\n", "## Sub\n", "- item\n", "1.2 Title\n", "```\n", "<h2>T</h2>\n", "Top\n====\n", "| a | b |\n"]
+    for _ in range(600):
+        t = "".join(r.choice([*bits, "x" * r.randint(1, 60)]) for _ in range(r.randint(0, 60)))
+        limit, overlap = r.randint(20, 150), r.randint(0, 30)
+        out = pc.cut(t, limit, overlap)
+        assert "".join(t[s:e] for _, s, e, _ in out) == t
+        assert len(t) <= limit or all(0 < e - a <= limit for a, _, e, _ in out)
+        room = limit - min(overlap, limit // 2)
+        assert all(out[i + 1][2] - out[i][1] > room for i in range(len(out) - 1)) or len(out) == 1
+
+
+def test_signs_in_a_fence_are_no_heading():
+    t = "text before\n\n```\n# comment\n\nx = 1\n```\n\n" + "after words " * 20
+    assert all(b != "heading" for *_, b in pc.cut(t, 80, 0))
+
+
+# --- 6: edits ---
+
+
+def test_misread_words_by_other_edits():
+    f = pg.Repairer({"protein": 1000, "binding": 1000})
+    assert [f.repair(w) for w in ("pr0tein", "bindlng", "protzin", "proein", "prrotein", "bindimg", "bindingg", "prtoein")] == ["protein", "binding", "protein", "protein", "protein", "binding", "binding", "protein"]
+    assert f.repair("proteins") is None and f.repair("bindin") is None  # endings are no misreadings
+    g = pg.Repairer({"protein": 1000, "binding": 1000, "of": 9000}, {("of", "protein"): 50})
+    assert g.repair("protzin") is None and g.misread("protzin") is None and g.repair("protzin", "of") == "protein"
+
+
+# --- 9: classes ---
+
+
+def test_alike_classes(spark):
+    d = spark.createDataFrame([(1, "paypal"), (2, "pаypal"), (3, "paypal"), (4, "other"), (5, None), (6, "other")], "doc_id long, text string")
+    assert sorted(map(tuple, la.alike_classes(d).collect())) == [(1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3)]
