@@ -408,6 +408,39 @@ def test_pruned_search_equals_brute_force(few, monkeypatch):
             assert {k for k, x in found[q] if x >= ratio * best[q] - 1e-9} == want
 
 
+def test_rivals_are_kept_without_a_list_of_all_candidates():
+    r = random.Random(5)
+    for _ in range(3000):
+        known = r.random() < 0.3
+        cands = [(k, r.choice(["", "", "a", "b", "c"]), r.choice([0.0, 0.0, 0.0, 0.3, 0.7, 0.9, 0.95]), r.random()) for k in range(r.randint(1, 30))]
+        best = max(c[3] for c in cands)
+        some = cm.Found(0.0 if known else cm.LEAST)
+        for c in cands:
+            some.add(c)
+        assert len(some.rest) <= 2
+        rows = []
+        for mine in (some.reaching(0.6 * best), [c for c in cands if c[3] >= 0.6 * best]):
+            judged = cm._judged(1, mine, 2.0) if any(c[2] > 0 for c in mine) else []
+            rows.append(sorted(x for x in judged if x[-1] or known))
+        assert rows[0] == rows[1]
+
+
+def test_a_worker_holds_one_shard(spark):
+    records = spark.range(60).select(F.col("id").alias("k"), F.concat(F.lit("t "), F.col("id")).alias("title"), F.array(F.lit(7).cast("long"), F.col("id") + 100).alias("hs"), F.array(F.lit(1), F.lit(2)).alias("tf"))
+    index = rt.write_index(records, {"k": "bigint", "title": "string"}, "k", 20)
+    assert index.shards == 3
+    ids = []
+    for k in range(3):
+        shard, (ks, titles) = index.shard(k)
+        assert len(rt._loaded) == 1 and len(ks) == shard.size
+        assert all(titles[r] == f"t {ks[r]}" for r in range(shard.size))
+        ids += [ks[r] for r in range(shard.size)]
+    assert sorted(ids) == list(range(60))
+    found = []
+    rt.search_all(index, [np.array([7, 142])], 0.9, lambda q, c, rec, sc: found.extend(c[0][k] for k in rec.tolist()))
+    assert 42 in found
+
+
 def test_mutual_nearest_rejects(spark):
     s = spark.createDataFrame(
         [(1, "Crystal growth rate of lysozyme in agitated vessels under low pressure", "10.1000/abc", "2001", [("Smith", "A", "author")])] + [(k, f"Other words {k} about topic {k * 7}", None, None, None) for k in range(2, 40)],
