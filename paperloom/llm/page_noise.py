@@ -56,6 +56,12 @@ _beside = re.compile(r"^\s*(?:(?P<a>\d{1,4}|[ivxl]{1,6})(?:\s{2,}|\s*[|·–—]
 _edge = ".,;:?!'\"“”‘’)]}»«"
 
 
+def _number_beside(line: str, stripped: str) -> re.Match | None:
+    """The match of a line with a page number at its start or end; other lines are told by their outer characters."""
+    a, b = stripped[:1], stripped[-1:]
+    return _beside.match(line) if a.isdecimal() or b.isdecimal() or a in "ivxl" or b in "ivxl" else None
+
+
 def _strip(w: str) -> str:
     return w.strip(_edge + "([{")
 
@@ -136,6 +142,7 @@ class Repairer:
         self.seen: dict[str, tuple[str, ...]] = {}
         self.near: dict[str, tuple[str, ...]] = {}
         self.judged: dict[str, bool | None] = {}
+        self.right: set[str] = set()
 
     def _reached(self, w: str) -> dict[str, float]:
         """The targets that confusion pairs make of w, with their least cost, by a walk over the targets' prefixes."""
@@ -267,10 +274,13 @@ class Repairer:
         if hit == "new":
             if len(self.judged) > 500_000:
                 self.judged.clear()
+                self.right.clear()
             hit = self.repair(raw) is not None
             if not hit and not self.blind and self.edited(raw.strip(_edge).lower().lstrip("[{\"“«'‘(")):
                 hit = None
             self.judged[raw] = hit
+            if hit is False:
+                self.right.add(raw)
         return hit
 
 
@@ -339,7 +349,7 @@ def clean_lines(text: str, edges: bool) -> tuple[list[str], set[str]]:
                     left -= 1
                     continue
                 s = stripped[i]
-                m = _beside.match(lines[i])
+                m = _number_beside(lines[i], s)
                 body = (m["b"] or m["c"]) if m else s
                 after = near(i, 1)
                 nxt = stripped[after] if after is not None else ""
@@ -368,7 +378,7 @@ def clean_lines(text: str, edges: bool) -> tuple[list[str], set[str]]:
             if i in number:
                 continue
             s = stripped[i]
-            m = _beside.match(lines[i])
+            m = _number_beside(lines[i], s)
             body = (m["b"] or m["c"]) if m else s
             a, b = near(i, -1), near(i, 1)
             prev, nxt = (stripped[a] if a is not None else ""), (stripped[b] if b is not None else "")
@@ -431,7 +441,7 @@ def examine(text: str | None, edges: bool, fix: Repairer, rewrite: bool = False)
     if divided:
         noise.add("hyphen")
     if not rewrite:
-        kinds = {w: fix.misread(w) for w in set(body.split())}
+        kinds = {w: fix.misread(w) for w in set(body.split()) - fix.right}
         open_ = {w for w, m in kinds.items() if m is None}
         if any(kinds.values()):
             noise.add("ocr")

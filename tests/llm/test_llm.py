@@ -489,6 +489,19 @@ def test_misread_words_by_other_edits():
     assert g.repair("protzin") is None and g.misread("protzin") is None and g.repair("protzin", "of") == "protein"
 
 
+def test_words_judged_right_are_left_out_and_numbers_told_by_outer_signs():
+    f = pg.Repairer({"protein": 1000, "binding": 1000})
+    assert pg.examine("protein binding, protein", False, f) == (set(), None) and f.right == {"protein", "binding,"}
+    assert pg.examine("protein pr0tein", False, f)[0] == {"ocr"} and "pr0tein" not in f.right
+    assert pg.examine("binding, pr0tein", False, f)[0] == {"ocr"}
+    r = random.Random(3)
+    bits = ["12", "iv", "x", "L", " ", "  ", "\t", "|", "·", "Word", "٣", "\u2009", "-"]
+    for _ in range(5000):
+        line = "".join(r.choices(bits, k=r.randint(0, 8)))
+        a, b = pg._number_beside(line, line.strip()), pg._beside.match(line)
+        assert (a and a.groupdict()) == (b and b.groupdict())
+
+
 # --- 9: classes ---
 
 
