@@ -100,10 +100,11 @@ def min_cost_flow(supply: list[int], quota: list[int], member: list[list[int]],
 def _best_size(supply: list[int], share: list[float], member: list[list[int]], repeats: list[int]) -> int:
     """The largest total of which every present source can get its share (bisection over the flow)."""
     present = sorted({s for m in member for s in m})
-    lo, hi = 0, sum(n * max(repeats[s] for s in m) for n, m in zip(supply, member, strict=True))
     if not any(share[s] > 0 for s in present):
         return 0
-    while hi - lo > max(1, hi // 10_000):
+    # sources without records have no part in what is used, so the total may exceed it
+    lo, hi = 0, math.ceil(sum(n * max(repeats[s] for s in m) for n, m in zip(supply, member, strict=True)) / sum(share[s] for s in present))
+    while hi - lo > hi // 10_000:
         mid = (lo + hi + 1) // 2
         quota = [int(mid * share[s]) if s in present else 0 for s in range(len(share))]
         got = sum(sum(f.values()) for f in min_cost_flow(supply, quota, member, repeats))
@@ -171,3 +172,12 @@ def share_report(mixed: DataFrame, weights: DataFrame) -> DataFrame:
         "source", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"),
     )
+
+
+def servable(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(source, target_share, present) for every row of weights: whether its source has a text at all.
+
+    Read from the documents: the mixture has no record of a source whose share is 0 or less than half a record.
+    """
+    held = docs.where("text <> ''").select("source").distinct().withColumn("present", F.lit(True))
+    return weights.join(held, "source", "left").select("source", "target_share", F.coalesce("present", F.lit(False)).alias("present"))

@@ -320,6 +320,33 @@ def test_mixture(spark):
     assert mx.mix(d.limit(0), w).count() == 0
 
 
+@needs_vocabulary
+def test_mixture_with_an_absent_source_uses_all_that_the_others_have(spark):
+    assert mx._best_size([10], [0.5, 0.5], [[0]], [1, 1]) == 20 and mx._best_size([1], [0.5, 0.5], [[0]], [1, 1]) == 2
+    d = spark.createDataFrame([(i, "text number %d about things" % i, "big") for i in range(40)], "doc_id long, text string, source string")
+    w = spark.createDataFrame([("big", 0.5, 1), ("absent", 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert mx.mix(d, w).select("doc_id", "uses").distinct().count() == 40
+
+
+def test_targets_agree_with_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    assert next(k for k in entry.queries() if k.startswith("p8_")) == "p8_mixture"
+    long = " ".join("word%d" % i for i in range(400))
+    docs = [(1, long, "A"), (2, "short text", "B"), (3, "other text", "zero"), (4, "third text", "none"), (5, "", "empty"), (6, None, "null"), (7, " ", "blank"), (8, "no source", None)]
+    names = ["A", "B", "empty", "null", "blank", "absent", "B", None]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    weights = [(x, 0.125, 1) for x in names] + [("zero", 0.0, 1), ("none", None, 1)]
+    spark.createDataFrame(weights, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/source_weights.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "source_weights"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = entry.queries()["p8_targets"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(entry.oracle_sql()["p8_targets"]).fetchall()))
+
+
 # --- 9 ---
 
 
